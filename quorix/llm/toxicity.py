@@ -33,7 +33,7 @@ from quorix.llm.common import LOWER_TABLE, Spans, chunks, id_mod, table, texts_o
 HALF = 1
 #: Windows of a text whose mean is its score.
 TOP = 3
-ROWS, BYTES = 6000, 50_000
+ROWS, BYTES = 3000, 50_000
 CUT = 0.3
 
 
@@ -82,6 +82,31 @@ def bags(data: np.ndarray, offsets: np.ndarray, buckets: int):
     return feature, at, word, row
 
 
+def bags_of(texts: list[str], buckets: int, most: int = 1 << 20):
+    """The same for many texts, with the memory of a few of them."""
+    known: dict[int, int] = {}
+    found, sizes, words, rows, held, start = [], [], [], [], [], 0
+    for i, text in enumerate(texts):
+        held.append(text.encode())
+        if i + 1 < len(texts) and sum(map(len, held[-64:])) < most and len(held) < 64:
+            continue
+        data = LOWER_TABLE[np.frombuffer(b"".join(held), np.uint8)]
+        starts, ends, row = words_of(data, np.append(0, np.cumsum([len(b) for b in held])).astype(np.int64))
+        hashes, first, inverse = np.unique(Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
+        new = np.array([k for k, h in enumerate(hashes.tolist()) if h not in known], np.int64)
+        for h in hashes[new].tolist():
+            known[h] = len(known)
+        if len(new):
+            feature, at = features(data, starts[first[new]], ends[first[new]], buckets)
+            found.append(feature.astype(np.int32))
+            sizes.append(np.diff(at))
+        words.append(np.array([known[h] for h in hashes.tolist()], np.int32)[inverse])
+        rows.append((row + start).astype(np.int32))
+        start, held = i + 1, []
+    none = np.zeros(0, np.int32)
+    return np.concatenate([none, *found]), np.append(0, np.cumsum(np.concatenate([none, *sizes]))).astype(np.int64), np.concatenate([none, *words]), np.concatenate([none, *rows])
+
+
 def halves(row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each half window starts among the words, and its row."""
     n = np.bincount(row, minlength=rows)
@@ -129,10 +154,8 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 <<
         held[:] = False
     if not len(y) or not 0 < y.sum() < len(y):
         return None
-    raw = [t.encode() for t in texts]
-    offsets = np.append(0, np.cumsum([len(b) for b in raw])).astype(np.int64)
-    feature, at, word, row = bags(np.frombuffer(b"".join(raw), np.uint8), offsets, buckets)
-    begin, owner = halves(row, len(raw))
+    feature, at, word, row = bags_of(texts, buckets)
+    begin, owner = halves(row, len(y))
     if not len(begin):
         return None
     stop = np.append(begin[1:], len(word))
@@ -146,7 +169,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 <<
     word_of_feature = np.repeat(np.arange(len(at) - 1), np.diff(at))
 
     def logits() -> np.ndarray:
-        per = emb[feature] @ (out[:, 1] - out[:, 0])
+        per = (emb @ (out[:, 1] - out[:, 0]))[feature]
         return window_sums(np.add.reduceat(per, at[:-1])[word], begin, owner) / bag + bias[1] - bias[0]
 
     for epoch in range(epochs):
@@ -154,7 +177,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 <<
         used = np.arange(len(z))
         if epoch >= 4:
             chosen = (y[owner] == 0) & (rng.random(len(z)) < 0.1)
-            chosen[pooled(z, owner, len(raw), 0.0)[1]] = True
+            chosen[pooled(z, owner, len(y), 0.0)[1]] = True
             used = np.flatnonzero(chosen)
         used = used[~held[owner[used]]]
         label = y[owner[used]]
@@ -173,7 +196,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 <<
             m += 0.2 * (g - m)
             v += 0.02 * (g * g - v)
             p -= 0.05 * (m / (1 - 0.8 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.98 ** (epoch + 1))) + 1e-8)
-    z = pooled(logits(), owner, len(raw), float(bias[1] - bias[0]))[0]
+    z = pooled(logits(), owner, len(y), float(bias[1] - bias[0]))[0]
     scale = held if held.any() else np.ones(len(y), bool)
     zs, ys = z[scale], y[scale]
     cuts = np.unique(zs)
