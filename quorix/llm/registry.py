@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator, by number.
-MODULES = ("simhash", "toxicity")
+MODULES = ("simhash", "toxicity", "decontaminate")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
