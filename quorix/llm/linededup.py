@@ -91,7 +91,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = stored(line_table(docs, id_col, text_col, noise, sure), "lines")
     gone = stored(deletions(lines, noise), "linegone").select(F.col("dk").alias("_dk"), F.col("gone").alias("_gone"))
     names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
-    out = docs.select(*names, _key(id_col, text_col).alias("_k")).join(gone, F.col("_k") == F.col("_dk"), "left")
+    out = docs.select(*names, _key(id_col, text_col).alias("_k")).join(gone.hint("merge"), F.col("_k") == F.col("_dk"), "left")
     out = out.withColumn("_lines", F.split(text_col, "\n", -1))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
