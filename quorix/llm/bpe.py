@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding through a minimal acyclic transducer lexicon.
 
 Words of the pre-tokenizer are counted over the whole corpus. Those that make up a
-share of 2**-17 of it or more (at most 131,072 words, whatever the corpus) are
+share of 2**-20 of it or more (at most 1,048,576 words, whatever the corpus) are
 compiled into a minimal acyclic automaton with shared suffixes whose edges carry
 outputs; their sum along a word is the place of the word's ids. The automaton is a
 few flat arrays in one file, memory-mapped by each worker, and walks many words at
@@ -40,8 +40,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The pattern's white space, as Unicode has it, where the regex module adds four control characters to it.
 SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NOT_SPACES = SPACES[:1] + "^" + SPACES[1:]
-SHARE = 17
-MEMO = 300_000
+SHARE = 20
+MEMO = 600_000
 LONG = 48
 
 
@@ -89,11 +89,11 @@ class Vocabulary:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             pairs.setdefault(vocab[a] * n + vocab[b], (rank, vocab[a + b]))
         keys = np.array(sorted(pairs), np.int64)
-        return cls(token_bytes, byte_id, keys, np.array([pairs[k][0] for k in keys.tolist()], np.int32), np.array([pairs[k][1] for k in keys.tolist()], np.int64), special)
+        return cls(token_bytes, byte_id, keys, np.array([pairs[k][0] for k in keys.tolist()], np.int32), np.array([pairs[k][1] for k in keys.tolist()], np.int32), special)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of merging each pair; pairs that don't merge, or hold a -1, rank last."""
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         good = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
         return np.where(good, self.pair_rank[at], np.iinfo(np.int32).max), self.pair_made[at]
@@ -117,8 +117,8 @@ class Vocabulary:
         last = np.iinfo(np.int32).max
         n = np.array([len(w) for w in words])
         raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
-        ids = np.where(np.arange(width) < n[:, None], self.byte_id[raw], -1)
-        ids = np.concatenate([ids, np.full((len(words), 1), -1)], 1)
+        ids = np.full((len(words), width + 1), -1, np.int32)
+        ids[:, :-1] = np.where(np.arange(width) < n[:, None], self.byte_id[raw], -1)
         rank, made = self.ranks(ids[:, :-1], ids[:, 1:])
         live = np.arange(len(words))
         column = np.arange(width)
@@ -337,7 +337,7 @@ class Encoder:
         """The ids of each text, as little-endian 32-bit integers."""
         parts = [self.split(t) for t in texts]
         known = self.memo.keys()
-        new = {w for p in parts for w in p if w not in known}
+        new = set().union(*parts) - known
         if new:
             if len(self.memo) + len(new) > MEMO:
                 new = {w for p in parts for w in p}
