@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from quorix.llm.common import LOWER_TABLE, Spans, chunks, id_mod, mix, stored, table, texts_of, words_of
 
 ORDER = 6
-SHARE = 17
-#: Entries that the automaton's tables may have; beyond it the share is halved until they fit.
-ENTRIES = 40_000_000
+SHARE = 20
+#: Entries that the automaton's tables may have; beyond it the share is doubled until they fit.
+ENTRIES = 8_000_000
 WORD_SHARE = 20
 END = 0xFF  # in no UTF-8 text
 DISCOUNT = 0.5
