@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from quorix.llm.common import LOWER_TABLE, Spans, chunks, stored, table, texts_of, words_of
+from quorix.llm.common import LOWER_TABLE, Spans, chunks, table, texts_of, words_of
 
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?\"'()[]")] = True
@@ -206,6 +206,17 @@ def share(part: set[bytes], seen: set[bytes]) -> float:
     return len(part & seen) / len(part) if part else 1.0
 
 
+def matches(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float, width: int):
+    """(row, item, (overlap, score, of the question, of the answer)) of each passage and each item that it holds."""
+    for row, terms, words in passages(index, data, offsets):
+        seen = None
+        for item, score in index.search(terms):
+            seen = shingles(words, width) if seen is None else seen
+            question, answer, both = (share(p, seen) if p and len(next(iter(p))) == 8 * width else share_short(p, words) for p in index.shingles[item])
+            if both >= overlap:
+                yield row, item, (both, score, question, answer)
+
+
 def _items(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | None) -> DataFrame:
     return benchmark.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("q"), F.coalesce(F.col(answer_col), F.lit("")).alias("a") if answer_col else F.lit(None).cast("string").alias("a"))
 
@@ -229,13 +240,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             for batch in chunks(batches):
                 ids = batch.column(0)
                 best: dict[tuple[int, int], tuple] = {}
-                for row, terms, words in passages(index, *texts_of(batch)):
-                    seen = None
-                    for item, score in index.search(terms):
-                        seen = shingles_of_passage(words, width) if seen is None else seen
-                        question, answer, both = (share(p, seen) if p and len(next(iter(p))) == 8 * width else share_short(p, words) for p in index.shingles[item])
-                        if both >= overlap and (both, score) > best.get((row, item), (0, 0))[:2]:
-                            best[row, item] = both, score, question, answer
+                for row, item, found in matches(index, *texts_of(batch), overlap, width):
+                    if found[:2] > best.get((row, item), (0, 0))[:2]:
+                        best[row, item] = found
                 if best:
                     keys = sorted(best)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([k[0] for k in keys])), pa.array([index.ids[k[1]] for k in keys], pa.int64()), *[pa.array([float(best[k][j]) for k in keys]) for j in (1, 2, 3)]], schema.names)
@@ -245,10 +252,6 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def shingles_of_passage(words: np.ndarray, width: int) -> set[bytes]:
-    return shingles(words, width)
-
-
 def share_short(part: set[bytes], words: np.ndarray) -> float:
     """For a part of fewer words than a shingle: whether it stands in the passage."""
     if not part:
@@ -270,10 +273,22 @@ def _shards(items: DataFrame):
         yield shard
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that hold a test item; rows whose id is null stay only if no such row holds one."""
-    found = stored(find(docs, benchmark, id_col, **how).select(F.col(id_col).alias("_found")).distinct(), "leaks")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_found")), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, overlap: float = 0.8, width: int = 5) -> DataFrame:
+    """docs without the rows that hold a test item, in one pass over them for each shard of the benchmark."""
+    schema = docs.schema
+    for shard in _shards(_items(benchmark, item_col, item_text, answer_col)):
+        held = docs.sparkSession.sparkContext.broadcast(Index.build([(i, *(split_item(q) if a is None else (q, a))) for i, q, a in shard], width, overlap))
+
+        def run(batches, held=held):
+            index: Index = held.value
+            for batch in chunks(batches, text_col):
+                keep = np.ones(batch.num_rows, bool)
+                for row, item, _ in matches(index, *texts_of(batch, text_col), overlap, width):
+                    keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

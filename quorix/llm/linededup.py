@@ -61,7 +61,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, noise: int, sure: in
 
 
 def deletions(lines: DataFrame, noise: int) -> DataFrame:
-    """(dk, gone): the lines to delete from each document that has any."""
+    """(dk, gone, whole): the lines to delete from each document that has any, and whether no line with words is left."""
     picks = stored(lines.select("dk", "id", F.explode("picks").alias("x")).select("dk", "id", F.col("x.g").alias("g"), (-F.col("x.q")).alias("q")), "linefp")
     first = stored(picks.groupBy("g").agg(F.min(F.struct("id", "dk", "q")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("fg"), F.col("f.dk").alias("fdk"), F.col("f.q").alias("fq")), "linefirst")
     links = picks.join(first, picks.g == first.fg).where("dk <> fdk").select("dk", "fdk", (F.col("q") - F.col("fq")).alias("shift")).distinct()
@@ -81,22 +81,34 @@ def deletions(lines: DataFrame, noise: int) -> DataFrame:
 
     zipped = F.transform("same", lambda s, i: F.struct(s.alias("same"), i.alias("i"), F.get("n", i).alias("n")))
     runs = same.select("dk", "at", F.aggregate(zipped, F.struct(F.lit(0).alias("a"), F.lit(0).alias("w"), none.alias("out")), step, lambda a: close(a, F.size("at"))).alias("runs"))
-    gone = runs.select("dk", F.flatten(F.transform("runs", lambda r: F.slice("at", r["a"] + 1, r["b"] - r["a"]))).alias("gone")).where(F.size("gone") > 0)
-    own = lines.select("dk", F.col("own").alias("gone")).where(F.size("gone") > 0)
-    return gone.unionByName(own).groupBy("dk").agg(F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    gone = runs.select("dk", F.size("at").alias("n"), F.flatten(F.transform("runs", lambda r: F.slice("at", r["a"] + 1, r["b"] - r["a"]))).alias("gone")).where(F.size("gone") > 0)
+    own = lines.select("dk", F.size("at").alias("n"), F.col("own").alias("gone")).where(F.size("gone") > 0)
+    found = gone.unionByName(own).groupBy("dk").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    return found.select("dk", "gone", (F.size("gone") >= F.col("n")).alias("whole"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, sure: int = SURE, counts: bool = False) -> DataFrame:
-    """docs with later repeated runs of lines deleted from text_col; counts: also n_lines and n_removed, replacing columns of those names."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, sure: int = SURE, counts: bool = False, drop_emptied: bool = False, length_col: str | None = None) -> DataFrame:
+    """docs with later repeated runs of lines deleted from text_col.
+
+    counts: also n_lines and n_removed, replacing columns of those names; drop_emptied:
+    without the documents that lose all their lines with words; length_col: a column
+    that takes the code points of each text that was cut.
+    """
     lines = stored(line_table(docs, id_col, text_col, noise, sure), "lines")
-    gone = stored(deletions(lines, noise), "linegone").select(F.col("dk").alias("_dk"), F.col("gone").alias("_gone"))
+    gone = stored(deletions(lines, noise), "linegone").select(F.col("dk").alias("_dk"), F.col("gone").alias("_gone"), F.col("whole").alias("_whole"))
     names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
     out = docs.select(*names, _key(id_col, text_col).alias("_k")).join(gone.hint("merge"), F.col("_k") == F.col("_dk"), "left")
+    if drop_emptied:
+        out = out.where(~F.coalesce("_whole", F.lit(False)))
     out = out.withColumn("_lines", F.split(text_col, "\n", -1))
     left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
     extra = [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return out.select(*[kept if c == text_col else F.col(c) for c in names], *extra)
+    cut = [F.col("_gone").isNotNull().alias("_cut")] if length_col else []
+    out = out.select(*[kept if c == text_col else F.col(c) for c in names], *extra, *cut)
+    if length_col:
+        out = out.withColumn(length_col, F.when(F.col("_cut"), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))).drop("_cut")
+    return out
 
 
 def op5_linededup(spark, sf_dir: str) -> DataFrame:
