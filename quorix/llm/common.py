@@ -41,6 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found else "file://" + os.path.abspath(found)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most some MB, where the session has not set a size of its own: rows here are whole texts."""
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(2 * CHUNK))):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/quorix-{tag}-{uuid.uuid4().hex}"
 
@@ -48,6 +55,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: the lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     df.write.parquet(path := scratch(spark, tag))
     out = spark.read.schema(df.schema).parquet(path)
     out._quorix_path = path
@@ -63,6 +71,7 @@ def drop(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
