@@ -25,7 +25,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 LOWER_TABLE = np.frombuffer(LOWER, np.uint8)
 #: Text bytes that a Python step takes at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most some MB, where the session has not set a size of its own: rows here are whole texts."""
-    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(2 * CHUNK))):
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(4 * CHUNK))):
         if spark.conf.get(key, default) == default:
             spark.conf.set(key, value)
 
@@ -117,7 +117,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power(n: int, name: str, base: np.uint64) -> np.ndarray:
     if len(_powers.get(name, ())) < n:
-        x = np.full(max(n, CHUNK + 65536), base, np.uint64)
+        x = np.full(max(n, CHUNK // 2), base, np.uint64)
         x[0] = 1
         _powers[name] = np.multiply.accumulate(x)
     return _powers[name][:n]

@@ -31,6 +31,8 @@ from quorix.llm.common import LOWER, chunks, components, drop, stored, table, te
 _ONES = np.uint64(0x0101010101010101)
 #: Fingerprints looked at to plan the partitions.
 SAMPLE = 2000
+#: The plan is made for so many fingerprints at least: the same for all smaller inputs.
+PLAN_FOR = 2_000_000
 #: Buckets up to this size are compared pair by pair in bulk; larger ones grow their components.
 SMALL = 12
 
@@ -136,7 +138,8 @@ def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
 def plan(n: int, both: np.ndarray, sample: np.ndarray, most: int) -> list[tuple[list[int], int]]:
     """Partitions with their thresholds, of the number of partitions that costs least."""
     options = []
-    x = sample[: SAMPLE]
+    x = sample[:SAMPLE]
+    size = max(n, PLAN_FOR)
     for m in range(2, most + 2):
         parts, cost = group_bits(n, both, m), []
         for bits in parts:
@@ -146,7 +149,7 @@ def plan(n: int, both: np.ndarray, sample: np.ndarray, most: int) -> list[tuple[
                 count += np.bincount(np.bitwise_count((x[a : a + 256, None] ^ x[None]) & mask).ravel().astype(np.int64), minlength=65)
             count[0] -= len(x)
             share = np.cumsum(count) / max(1, len(x) * (len(x) - 1))
-            cost.append([0.0] + [n * comb(len(bits), t) * 1.0 + 0.05 * share[t] * n * n / 2 * comb(len(bits), t) / max(1, comb(len(bits), t)) for t in range(min(most, 3) + 1)])
+            cost.append([0.0] + [size * comb(len(bits), t) + 0.05 * share[t] * size * size / 2 for t in range(min(most, 3) + 1)])
         need = most - m + 1
         if need <= sum(len(c) - 2 for c in cost):
             options.append((*allocate(cost, need), parts))

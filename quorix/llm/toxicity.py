@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorix.llm.common import LOWER_TABLE, Spans, chunks, id_mod, table, texts_of, words_of
+from quorix.llm.common import CHUNK, LOWER_TABLE, Spans, chunks, id_mod, table, texts_of, words_of
 
 #: Words of half a window; windows overlap by that much.
 HALF = 1
@@ -166,7 +166,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 <<
     emb = rng.normal(0, 0.05, (buckets, dim))
     out, bias = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
     moments = [np.zeros_like(p) for p in (emb, out, bias) for _ in (0, 1)]
-    word_of_feature = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    word_of_feature = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
 
     def logits() -> np.ndarray:
         per = (emb @ (out[:, 1] - out[:, 0]))[feature]
@@ -174,7 +174,7 @@ def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 <<
 
     for epoch in range(epochs):
         z = logits()
-        used = np.arange(len(z))
+        used = np.arange(0, len(z), 2)
         if epoch >= 4:
             chosen = (y[owner] == 0) & (rng.random(len(z)) < 0.1)
             chosen[pooled(z, owner, len(y), 0.0)[1]] = True
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK // 2):
             data, offsets = texts_of(batch)
             p = held.value.probability(window_scores(data, offsets, held.value))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, name])
