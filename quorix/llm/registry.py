@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator, by number.
-MODULES = ("simhash", "toxicity", "decontaminate", "bpe", "linededup", "quality", "ppm", "html", "warc")
+MODULES = ("simhash", "toxicity", "decontaminate", "bpe", "linededup", "quality", "ppm", "html", "warc", "suffix")
 
 QUERIES: dict = {}
 ORACLE: dict = {}
