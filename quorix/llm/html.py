@@ -273,27 +273,27 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", leas
     template = recurring(pages, url_col, html_col, least, share)
     spark = pages.sparkSession
     kept = [c for c in pages.columns if c not in (html_col, name)]
-    rows = pages.select(*kept, F.col(url_col).alias("_url"), F.col(html_col).alias("_html"))
+    rows = pages.select(*kept, F.col(url_col).alias("_quorix_url"), F.col(html_col).alias("_quorix_html"))
     schema = StructType([*rows.schema.fields[: len(kept)], StructField(name, StringType())])
     if template.count() <= broadcast:
         keys = np.sort(template.select("key").toArrow().column(0).to_numpy())
         held = spark.sparkContext.broadcast(keys)
 
         def run(batches):
-            for batch in chunks(batches, "_html"):
+            for batch in chunks(batches, "_quorix_html"):
                 n = batch.num_columns
                 text = [_extract(u, p, held.value) for u, p in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(text, pa.string())], [*kept, name])
 
         return rows.mapInArrow(run, schema)
     # The host as Python has it, for the join; a host's template is bounded by the subtrees of a page over the share.
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("_url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
-    each = template.groupBy("host").agg(F.collect_list("key").alias("_keys")).select(F.col("host").alias("_h"), "_keys", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    salted = rows.withColumn("_host", host).withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(SALTS)).cast("int"))
-    both = salted.join(each, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left").select(*kept, "_url", "_html", F.coalesce("_keys", F.array().cast("array<bigint>")).alias("_keys"))
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("_quorix_url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
+    each = template.groupBy("host").agg(F.collect_list("key").alias("_quorix_keys")).select(F.col("host").alias("_quorix_h"), "_quorix_keys", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_quorix_s"))
+    salted = rows.withColumn("_quorix_host", host).withColumn("_quorix_salt", F.pmod(F.xxhash64("_quorix_html"), F.lit(SALTS)).cast("int"))
+    both = salted.join(each, (F.col("_quorix_host") == F.col("_quorix_h")) & (F.col("_quorix_salt") == F.col("_quorix_s")), "left").select(*kept, "_quorix_url", "_quorix_html", F.coalesce("_quorix_keys", F.array().cast("array<bigint>")).alias("_quorix_keys"))
 
     def run_joined(batches):
-        for batch in chunks(batches, "_html"):
+        for batch in chunks(batches, "_quorix_html"):
             n = batch.num_columns
             text = [_extract(u, p, frozenset(k)) for u, p, k in zip(*(batch.column(n - i).to_pylist() for i in (3, 2, 1)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], pa.array(text, pa.string())], [*kept, name])

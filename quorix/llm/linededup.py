@@ -95,19 +95,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that takes the code points of each text that was cut.
     """
     lines = stored(line_table(docs, id_col, text_col, noise, sure), "lines")
-    gone = stored(deletions(lines, noise), "linegone").select(F.col("dk").alias("_dk"), F.col("gone").alias("_gone"), F.col("whole").alias("_whole"))
+    gone = stored(deletions(lines, noise), "linegone").select(F.col("dk").alias("_quorix_dk"), F.col("gone").alias("_quorix_gone"), F.col("whole").alias("_quorix_whole"))
     names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
-    out = docs.select(*names, _key(id_col, text_col).alias("_k")).join(gone.hint("merge"), F.col("_k") == F.col("_dk"), "left")
+    out = docs.select(*names, _key(id_col, text_col).alias("_quorix_k")).join(gone.hint("merge"), F.col("_quorix_k") == F.col("_quorix_dk"), "left")
     if drop_emptied:
-        out = out.where(~F.coalesce("_whole", F.lit(False)))
-    out = out.withColumn("_lines", F.split(text_col, "\n", -1))
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
-    extra = [F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    cut = [F.col("_gone").isNotNull().alias("_cut")] if length_col else []
+        out = out.where(~F.coalesce("_quorix_whole", F.lit(False)))
+    out = out.withColumn("_quorix_lines", F.split(text_col, "\n", -1))
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_quorix_lines") - 1), "_quorix_gone"), lambda i: F.get("_quorix_lines", i)), "\n")
+    kept = F.when(F.col("_quorix_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
+    extra = [F.coalesce(F.size("_quorix_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_quorix_gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
+    cut = [F.col("_quorix_gone").isNotNull().alias("_quorix_cut")] if length_col else []
     out = out.select(*[kept if c == text_col else F.col(c) for c in names], *extra, *cut)
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("_cut"), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))).drop("_cut")
+        out = out.withColumn(length_col, F.when(F.col("_quorix_cut"), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))).drop("_quorix_cut")
     return out
 
 

@@ -262,8 +262,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
     """docs with the row of least id of each group of near duplicates; rows without an id all stay."""
     found = near_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, most)
-    kept = stored(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct(), "fpkept")
-    rows = docs.join(kept.hint("merge"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    kept = stored(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_quorix_kept")).distinct(), "fpkept")
+    rows = docs.join(kept.hint("merge"), F.col(id_col) == F.col("_quorix_kept"), "left_semi").dropDuplicates([id_col])
     return rows.unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -231,7 +231,8 @@ def window_scores(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.nda
 
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
-    """docs with the score as a last column; text is the only input of it."""
+    """docs with the score as a last column; text is the only input of it. A column of that name is replaced."""
+    docs = docs.drop(name)
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)
