@@ -116,7 +116,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int, name: str, base: np.uint64) -> np.ndarray:
-    if len(_powers.get(name, ())) < n:
+    if name not in _powers or len(_powers[name]) < n:
         x = np.full(max(n, CHUNK // 2), base, np.uint64)
         x[0] = 1
         _powers[name] = np.multiply.accumulate(x)

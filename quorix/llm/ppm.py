@@ -77,6 +77,8 @@ def grams_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndar
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
+    if not len(k):
+        return k, c
     order = np.argsort(k)
     k = k[order]
     first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
