@@ -385,7 +385,7 @@ def build_lexicon(docs: DataFrame, text_col: str, spec: str, share: int = SHARE)
 
     held = stored(counts, "bpewords")
     total = held.agg(F.sum("n")).first()[0] or 0
-    frequent = [r[0].encode() for r in held.where(F.col("n") * (1 << share) >= total).select("word").collect()]
+    frequent = [r[0].encode() for r in held.where(F.col("n") * 2.0**share >= total).select("word").collect()]
     drop(held)
     frequent = [w for w in frequent if len(w) <= LONG]
     return Lexicon.compile(dict(zip(frequent, vocabulary(spec).merge(frequent))))

@@ -203,13 +203,13 @@ def train(counts: DataFrame, order: int = ORDER, share: int = SHARE) -> Automato
     each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1)).alias("gram")) for j in range(order + 1)]))
     levels = grams.select(each.alias("x"), "n").groupBy("x.j", "x.gram").agg(F.sum("n").alias("n")).select("j", "gram", F.shiftright("gram", 8).alias("ctx"), "n")
     levels = stored(levels, "ppmlevels")
-    kept = levels.groupBy(F.col("j").alias("kj"), F.col("ctx").alias("kctx")).agg(F.sum("n").alias("c")).where(F.col("c") * (1 << share) >= total)
+    kept = levels.groupBy(F.col("j").alias("kj"), F.col("ctx").alias("kctx")).agg(F.sum("n").alias("c")).where(F.col("c") * 2.0**share >= total)
     fits, c = share, F.col("c")
-    sizes = kept.agg(*[F.sum((c * (1 << k) >= total).cast("long")).alias(str(k)) for k in range(share + 1)]).first()
+    sizes = kept.agg(*[F.sum((c * 2.0**k >= total).cast("long")).alias(str(k)) for k in range(share + 1)]).first()
     classes = levels.where("j = 0").count() + 1
     while fits and (sizes[str(fits)] or 0) * classes > ENTRIES:
         fits -= 1
-    kept = kept.where(c * (1 << fits) >= total)
+    kept = kept.where(c * 2.0**fits >= total)
     rows = levels.join(kept, (levels.j == kept.kj) & (levels.ctx == kept.kctx), "left_semi").select("j", "gram", "n").toArrow()
     j, gram, n = (rows.column(i).to_numpy() for i in range(3))
     out = []
@@ -239,7 +239,7 @@ def base_of(counts: DataFrame, share: int = WORD_SHARE) -> Base:
     got = words.agg(F.sum("n"), F.count("*")).first()
     ends = counts.where("kind = 2").agg(F.sum("n")).first()[0] or 0
     total = (got[0] or 0) + ends
-    rows = words.where(F.col("n") * (1 << share) >= total).select("key", "n").toArrow()
+    rows = words.where(F.col("n") * 2.0**share >= total).select("key", "n").toArrow()
     key, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     order = np.argsort(key)
     return Base(key[order], n[order].astype(np.int64), total, got[1] + (ends > 0), ends)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorix.llm.common import CHUNK, Spans, chunks, mix, stored, table, texts_of
+from quorix.llm.common import CHUNK, Spans, chunks, drop, mix, stored, table, texts_of
 
 LENGTH, GRAM, NARROW = 400, 160, 24
 SHARD_BYTES = 4 << 20
@@ -360,25 +360,37 @@ def covered(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, g
         for batch in chunks(batches, most=CHUNK):
             data, offsets = texts_of(batch)
             group, content, row, lo, hi, at = regions(data, offsets, length, gram)
-            base = offsets[row]
+            # One number for where a region is: first start, further starts, offset of the designated place.
+            packed = ((lo - offsets[row]) << 24) | ((hi - lo) << 12) | (at - lo)
             dk = batch.column(0).to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (group.view(np.int64), content.view(np.int64), dk, (lo - base).astype(np.int32), (hi - base).astype(np.int32), (at - lo).astype(np.int32))], ["g", "c", "dk", "lo", "hi", "at"])
-
-    found = stored(rows.mapInArrow(run, "g long, c long, dk long, lo int, hi int, at int"), "regions")
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (group.view(np.int64), content.view(np.int64), dk, packed)], ["g", "c", "dk", "pk"])
+
+    if length - gram >= 1 << 12:
+        raise ValueError("the piece is too short for the string")
+    every = stored(rows.mapInArrow(run, "g long, c long, dk long, pk long"), "regions")
+    # Most groups have one region, which repeats nothing: they go first.
+    many = stored(every.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("mg")), "regionmany")
+    found = stored(every.join(many.hint("merge"), every.g == many.mg, "left_semi"), "regionsleft")
+    drop(every, many)
     # Of each content the number and one place; of each group how many contents.
-    kinds = stored(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("dk", "lo", "hi", "at")).alias("r")), "regionkinds")
+    kinds = stored(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min("dk").alias("rk"), F.min_by("pk", "dk").alias("pk")), "regionkinds")
     mixed = stored(kinds.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("mg")), "regionmixed")
-    sent = kinds.join(mixed, kinds.g == mixed.mg, "left_semi").select("g", "n", F.col("r.dk").alias("rk"), F.struct(F.col("g").alias("g"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), F.col("r.at").alias("at"), (F.col("n") > 1).alias("all")).alias("x"))
+    lo, wide, at = F.shiftright("pk", 24), F.shiftright("pk", 12).bitwiseAND(F.lit(4095)), F.col("pk").bitwiseAND(F.lit(4095))
+    sent = kinds.join(mixed.hint("merge"), kinds.g == mixed.mg, "left_semi").select("rk", F.struct("g", lo.alias("lo"), (lo + wide).alias("hi"), at.alias("at"), (F.col("n") > 1).alias("all")).alias("x"))
     per = stored(sent.groupBy("rk").agg(F.collect_list("x").alias("xs")), "regionsent")
     once = rows.join(per.hint("merge"), rows.dk == per.rk).dropDuplicates(["dk"]).select("dk", "text", "xs")
     ship = stored(once.mapInArrow(_cut(length), "g long, dk long, lo int, at int, whole boolean, part binary"), "regiontext")
+    drop(per, mixed)
     size = ship.agg(F.sum(F.length("part") + 1)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    marks = ship.repartitionById(shards, F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).mapInArrow(_sort(length), "dk long, a int, b int")
+    marks = stored(ship.repartitionById(shards, F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).mapInArrow(_sort(length), "dk long, a int, b int"), "regionmarks")
+    drop(ship)
     often = kinds.where("n > 1").select(F.col("g").alias("og"), F.col("c").alias("oc"))
-    whole = found.join(often.hint("merge"), (found.g == F.col("og")) & (found.c == F.col("oc")), "left_semi").select("dk", F.col("lo").alias("a"), F.col("hi").alias("b"))
-    every = whole.unionByName(marks).groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
-    return stored(every, "regionspans")
+    whole = found.join(often.hint("merge"), (found.g == F.col("og")) & (found.c == F.col("oc")), "left_semi").select("dk", lo.cast("int").alias("a"), (lo + wide).cast("int").alias("b"))
+    spans = whole.unionByName(marks).groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    out = stored(spans, "regionspans")
+    drop(found, kinds, marks)
+    return out
 
 
 def _cut(length: int):
