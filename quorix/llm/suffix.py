@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from quorix.llm.common import CHUNK, Spans, chunks, drop, mix, stored, table, texts_of
 
 LENGTH, GRAM, NARROW = 400, 160, 24
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Longer runs and arrays are in files.
-IN_MEMORY = 1 << 20
+IN_MEMORY = 1 << 22
 FAR = np.iinfo(np.int64).max
 
 
@@ -321,21 +321,29 @@ def narrow_marks(rows: list[tuple], length: int) -> list[list[tuple[int, int]]]:
     Strings of one narrow region have a core in common; where no other region of the
     group has that core there, none of them repeats. Equal narrow regions are sorted once.
     """
-    pieces: dict[tuple, list[tuple[int, int, int]]] = {}
+    pieces: dict[tuple, list[int]] = {}
+    spans: list[list[tuple[int, int, int]]] = []
     for k, (group, text, at) in enumerate(rows):
-        last = len(text) - length
-        for j in range((at - last) // NARROW if at > last else 0, at // NARROW + 1):
-            s2, s1 = min(at - NARROW * j, last), max(0, at - NARROW * j - NARROW + 1)
+        last, mine = len(text) - length, []
+        for j in range(max(0, at - last) // NARROW, at // NARROW + 1):
+            core = at - NARROW * j
+            s1, s2 = max(0, core - NARROW + 1), min(core, last)
             if s1 <= s2:
-                core = at - NARROW * j
-                key = (group, j, hash(text[core : core - NARROW + 1 + length]))
-                pieces.setdefault(key, []).append((k, s1, s2))
+                mine.append((s1, s2, hash((group, j, text[core : core - NARROW + 1 + length]))))
+        for _, _, key in mine:
+            pieces[key] = pieces.get(key, 0) + 1
+        spans.append(mine[::-1])
     out: list[list[tuple[int, int]]] = [[] for _ in rows]
     segments: dict[bytes, list[tuple[int, int, int]]] = {}
-    for found in pieces.values():
-        if len(found) > 1:
-            for k, s1, s2 in found:
-                segments.setdefault(rows[k][1][s1 : s2 + length], []).append((k, s1, s2))
+    for k, mine in enumerate(spans):
+        # Narrow regions that follow each other and may repeat are sorted as one string.
+        open_ = None
+        for s1, s2, key in [*mine, (-1, -1, None)]:
+            if key is not None and pieces[key] > 1:
+                open_ = (open_[0] if open_ else s1, s2)
+            elif open_:
+                segments.setdefault(rows[k][1][open_[0] : open_[1] + length], []).append((k, *open_))
+                open_ = None
     texts = list(segments)
     if texts:
         for text, starts in zip(texts, repeated_starts(texts, length)):
