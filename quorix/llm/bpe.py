@@ -22,6 +22,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 from collections import Counter
 from dataclasses import dataclass
@@ -300,6 +301,13 @@ def lexicon(blob: bytes) -> Lexicon:
 
 
 _splitter = regex.compile(PATTERN.replace(r"\s", SPACES).replace(r"\S", NOT_SPACES).replace("[^" + SPACES, "[^" + SPACES[1:-1]))
+#: The same for ASCII texts, in the standard library's engine, which takes less than half the time.
+_ascii = re.compile(PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+", " ?[A-Za-z]+").replace(" ?0-9+", " ?[0-9]+").replace(r"[^\s", r"[^\t-\r ").replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]"))
+
+
+def split_words(text: str) -> list[str]:
+    return (_ascii if text.isascii() else _splitter).findall(text)
+
 
 
 class Encoder:
@@ -311,12 +319,12 @@ class Encoder:
     def split(self, text: str) -> list[str]:
         """Words of the pre-tokenizer, special tokens as words of their own."""
         if not self.vocab.special or not self.special.search(text):
-            return _splitter.findall(text)
+            return split_words(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += [*_splitter.findall(text[at : m.start()]), m[0]]
+            out += [*split_words(text[at : m.start()]), m[0]]
             at = m.end()
-        return out + _splitter.findall(text[at:])
+        return out + split_words(text[at:])
 
     def learn(self, words: list[str]) -> None:
         if len(self.memo) + len(words) > MEMO:
