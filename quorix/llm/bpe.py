@@ -34,6 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix import ship
 from quorix.llm.common import chunks, table, texts_of
 
 #: The pattern of byte-level pre-tokenizers. A fixed value.
@@ -371,6 +372,7 @@ def encoder(spec: str, blob: bytes) -> Encoder:
 
 def word_counts(docs: DataFrame, text_col: str, spec: str) -> DataFrame:
     """(word, n) over the whole corpus."""
+    ship(docs.sparkSession)
     def run(batches):
         counts: Counter[str] = Counter()
         split = Encoder(vocabulary(spec), Lexicon((np.zeros(0, np.int64),) * 6)).split
@@ -430,6 +432,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", name: str = "decoded", tokeniz
     """rows with the text of their ids; null ids are none."""
     from pyspark.sql.types import StringType, StructField, StructType
 
+    ship(rows.sparkSession)
     with open(tokenizer or tokenizer_path(), encoding="utf-8") as f:
         held = rows.sparkSession.sparkContext.broadcast(f.read())
 

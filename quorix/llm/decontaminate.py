@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from quorix import ship
 from quorix.llm.common import LOWER_TABLE, Spans, chunks, table, texts_of, words_of
 
 _EDGE = np.zeros(256, bool)
@@ -226,6 +227,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
     Kept where a share ``overlap`` of the item's shingles of ``width`` words is in one passage.
     """
+    ship(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = StructType([StructField(id_col, rows.schema["id"].dataType), StructField("item_id", LongType()), *[StructField(n, DoubleType()) for n in ("score", "question_overlap", "answer_overlap")]])
@@ -275,6 +277,7 @@ def _shards(items: DataFrame):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, overlap: float = 0.8, width: int = 5) -> DataFrame:
     """docs without the rows that hold a test item, in one pass over them for each shard of the benchmark."""
+    ship(docs.sparkSession)
     schema = docs.schema
     for shard in _shards(_items(benchmark, item_col, item_text, answer_col)):
         held = docs.sparkSession.sparkContext.broadcast(Index.build([(i, *(split_item(q) if a is None else (q, a))) for i, q, a in shard], width, overlap))

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix import ship
 from quorix.llm.common import chunks, stored, table
 
 #: A subtree is template if it stands on so many pages of its host, and on this share of them.
@@ -225,6 +226,7 @@ def _key(host: str, subtree: int) -> int:
 
 def recurring(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = PAGES, share: float = SHARE) -> DataFrame:
     """(host, key): subtrees that stand on enough pages of their host, as a table in the shared folder."""
+    ship(pages.sparkSession)
     def run(batches):
         for batch in chunks(batches, "html"):
             hosts, keys, found = [], [], {}

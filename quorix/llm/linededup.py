@@ -11,7 +11,8 @@ Occurrences of a fingerprint are joined with its first one, in the order of
 are extended both ways by comparing the two documents' line hashes along it. Runs
 of equal lines of ``noise`` words or more are deleted from the later document.
 Within one document every gram counts: lines of a gram that came before are
-deleted. A group of k copies makes k links, each to the first.
+deleted, and a fingerprint's first place in a document stands for it towards others.
+A group of k copies makes k links, each to the first.
 
 Lines are split at \\n and compared whole; words are runs of what isn't a space or
 tab to carriage return. Lines without words are neither compared nor deleted.
@@ -54,6 +55,9 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, noise: int, sure: in
     ranked = grams.select("*", F.array_sort(F.filter(F.transform("grams", lambda g, p: F.struct(g["g"].alias("g"), p.alias("p"), g["len"].alias("len"), g["s"].alias("s"))), lambda g: g["s"] >= noise)).alias("ranked"))
     again = F.filter(F.transform("ranked", lambda x, i: F.when((i > 0) & (F.get("ranked", i - 1)["g"] == x["g"]), F.struct(x["p"].alias("p"), x["len"].alias("len")))), lambda x: x.isNotNull())
     own = ranked.select("*", F.array_distinct(F.filter(F.transform("spans", least), lambda x: x.isNotNull())).alias("picks"), again.alias("again"))
+    # Of a fingerprint's places in one document the first stands for all: the others repeat it there.
+    own = own.withColumn("picks", F.array_sort(F.transform("picks", lambda x: F.struct(x["g"].alias("g"), (-x["q"]).alias("q")))))
+    own = own.withColumn("picks", F.filter(F.transform("picks", lambda x, i: F.when((i == 0) | (F.get("picks", i - 1)["g"] != x["g"]), x)), lambda x: x.isNotNull()))
     return own.select(
         "dk", "id", F.col("items.i").alias("at"), F.col("items.h").alias("h"), F.col("items.n").alias("n"), "picks",
         F.array_distinct(F.flatten(F.transform("again", lambda r: F.transform(F.slice("items", r["p"] + 1, r["len"]), lambda y: y["i"])))).alias("own"),
@@ -62,7 +66,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, noise: int, sure: in
 
 def deletions(lines: DataFrame, noise: int) -> DataFrame:
     """(dk, gone, whole): the lines to delete from each document that has any, and whether no line with words is left."""
-    picks = stored(lines.select("dk", "id", F.explode("picks").alias("x")).select("dk", "id", F.col("x.g").alias("g"), (-F.col("x.q")).alias("q")), "linefp")
+    picks = stored(lines.select("dk", "id", F.explode("picks").alias("x")).select("dk", "id", F.col("x.g").alias("g"), F.col("x.q").alias("q")), "linefp")
     first = stored(picks.groupBy("g").agg(F.min(F.struct("id", "dk", "q")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("fg"), F.col("f.dk").alias("fdk"), F.col("f.q").alias("fq")), "linefirst")
     links = picks.join(first, picks.g == first.fg).where("dk <> fdk").select("dk", "fdk", (F.col("q") - F.col("fq")).alias("shift")).distinct()
     links = stored(links, "linelinks")

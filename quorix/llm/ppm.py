@@ -35,18 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix import ship
 from quorix.llm.common import LOWER_TABLE, Spans, chunks, id_mod, mix, stored, table, texts_of, words_of
 
 ORDER = 6
 SHARE = 20
 #: Entries that the automaton's tables may have; beyond it the share is doubled until they fit.
-ENTRIES = 8_000_000
+ENTRIES = 6_000_000
 WORD_SHARE = 20
 END = 0xFF  # in no UTF-8 text
 DISCOUNT = 0.5
 LANES = 4096
 #: Distinct keys that a task holds before it puts them out.
-HELD = 1_500_000
+HELD = 600_000
 
 
 def stream_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +88,7 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 def corpus_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(kind, key, n) over all texts: 0 words by hash, 1 grams, 2 texts, as a table in the shared folder."""
+    ship(docs.sparkSession)
     def run(batches):
         held = {0: ([], []), 1: ([], [])}
         texts = 0
@@ -334,6 +336,7 @@ class Adaptive:
 
 def score_adaptive(docs: DataFrame, text_col: str = "text", order: int = ORDER, name: str = "adaptive_score") -> DataFrame:
     """docs with the log10 probability of each text under a model that starts empty and learns from that text alone."""
+    ship(docs.sparkSession)
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     def run(batches):

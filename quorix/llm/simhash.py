@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix import ship
 from quorix.llm.common import LOWER, chunks, components, drop, stored, table, texts_of
 
 _ONES = np.uint64(0x0101010101010101)
@@ -71,6 +72,7 @@ def fingerprints_of(texts: list[bytes], shingle: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(id_col, fp): the fingerprint as a signed long."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 

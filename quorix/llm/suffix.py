@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix import ship
 from quorix.llm.common import CHUNK, Spans, chunks, drop, mix, stored, table, texts_of
 
 LENGTH, GRAM, NARROW = 400, 160, 24
@@ -362,6 +363,7 @@ _KEY = "xxhash64(id, text, length(text))"
 
 def covered(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(dk, spans): where repeated strings start, as [first, last] pairs, for each document that has any."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select(F.expr(_KEY).alias("dk"), "text")
 
     def run(batches):
@@ -387,12 +389,12 @@ def covered(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, g
     sent = kinds.join(mixed.hint("merge"), kinds.g == mixed.mg, "left_semi").select("rk", F.struct("g", lo.alias("lo"), (lo + wide).alias("hi"), at.alias("at"), (F.col("n") > 1).alias("all")).alias("x"))
     per = stored(sent.groupBy("rk").agg(F.collect_list("x").alias("xs")), "regionsent")
     once = rows.join(per.hint("merge"), rows.dk == per.rk).dropDuplicates(["dk"]).select("dk", "text", "xs")
-    ship = stored(once.mapInArrow(_cut(length), "g long, dk long, lo int, at int, whole boolean, part binary"), "regiontext")
+    texts = stored(once.mapInArrow(_cut(length), "g long, dk long, lo int, at int, whole boolean, part binary"), "regiontext")
     drop(per, mixed)
-    size = ship.agg(F.sum(F.length("part") + 1)).first()[0] or 0
+    size = texts.agg(F.sum(F.length("part") + 1)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
-    marks = stored(ship.repartitionById(shards, F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).mapInArrow(_sort(length), "dk long, a int, b int"), "regionmarks")
-    drop(ship)
+    marks = stored(texts.repartitionById(shards, F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).mapInArrow(_sort(length), "dk long, a int, b int"), "regionmarks")
+    drop(texts)
     often = kinds.where("n > 1").select(F.col("g").alias("og"), F.col("c").alias("oc"))
     whole = found.join(often.hint("merge"), (found.g == F.col("og")) & (found.c == F.col("oc")), "left_semi").select("dk", lo.cast("int").alias("a"), (lo + wide).cast("int").alias("b"))
     spans = whole.unionByName(marks).groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorix import ship
 from quorix.llm.common import CHUNK, LOWER_TABLE, Spans, chunks, id_mod, table, texts_of, words_of
 
 #: Words of half a window; windows overlap by that much.
@@ -232,6 +233,7 @@ def window_scores(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.nda
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
     """docs with the score as a last column; text is the only input of it. A column of that name is replaced."""
+    ship(docs.sparkSession)
     docs = docs.drop(name)
     if model is None:
         return docs.withColumn(name, F.lit(0.0))

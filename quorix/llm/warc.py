@@ -31,6 +31,7 @@ from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorix import ship
 from quorix.llm.common import chunks, scratch, stored, table
 
 FILE_BYTES = 8 << 20
@@ -143,6 +144,7 @@ def shard_bounds(rows: DataFrame) -> list[int]:
 
 def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> str:
     """Archive all rows of pages under a folder that driver and executors share; gives the folder."""
+    ship(pages.sparkSession)
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
