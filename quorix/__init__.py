@@ -1 +1,27 @@
 """quorix: exact nearest-neighbour scoring of transactions on Spark."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Give this package to the executors, once a session, unless PYTHONPATH has it for them already."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    known = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if root in known or context.applicationId in _shipped or not os.path.isdir(root):
+        return
+    folder = tempfile.mkdtemp(prefix="quorix-")
+    path = os.path.join(folder, "quorix.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for top, _, names in os.walk(os.path.join(root, "quorix")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(top, name), os.path.relpath(os.path.join(top, name), root))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)

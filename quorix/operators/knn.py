@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from quorix import ship
+
 K = 5
 #: Queries that go to all executors at once: with 64 dimensions, 10 MB.
 QUERY_BLOCK = 20_000
@@ -70,6 +72,7 @@ def brute_force(refs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Queries go out in blocks of bounded size; each task over refs keeps its k best of
     each query, so what is shuffled is k rows a query and task, whatever refs has.
     """
+    ship(refs.sparkSession)
     spark, out = refs.sparkSession, None
     for ids, vectors in query_blocks(queries):
         held = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
@@ -140,6 +143,7 @@ def initial_centroids(sample: DataFrame, k: int, width: int) -> list[list[float]
 
 def assign(rows: DataFrame, centroids: list[list[float]], name: str = "cluster_id") -> DataFrame:
     """rows with the nearest centroid of q; the first of equals. Distances add up left to right in double precision."""
+    ship(rows.sparkSession)
     held = rows.sparkSession.sparkContext.broadcast(np.array(centroids, np.float64))
 
     def run(batches):
