@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorix import ship
-from quorix.llm.common import LOWER_TABLE, Spans, chunks, id_mod, mix, stored, table, texts_of, words_of
+from quorix.llm.common import CHUNK, LOWER_TABLE, Spans, chunks, id_mod, mix, stored, table, texts_of, words_of
 
 ORDER = 6
 SHARE = 20
@@ -47,7 +47,7 @@ END = 0xFF  # in no UTF-8 text
 DISCOUNT = 0.5
 LANES = 4096
 #: Distinct keys that a task holds before it puts them out.
-HELD = 600_000
+HELD = 400_000
 
 
 def stream_of(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER) -
                 k, c = merged(*held[kind])
                 held[kind] = ([k], [c])
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK // 2):
             data, offsets = texts_of(batch)
             lower = LOWER_TABLE[data]
             starts, ends, _ = words_of(lower, offsets)
@@ -258,7 +258,7 @@ def score(docs: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         model, base = held.value
         task, done = TaskContext.get().partitionId() << 36, 0
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=CHUNK // 2):
             data, offsets = texts_of(batch)
             n = batch.num_rows
             lower = LOWER_TABLE[data]
