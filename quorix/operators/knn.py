@@ -101,6 +101,28 @@ def brute_force(refs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return ranked(out, k)
 
 
+def distances(refs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(qid, orig_id, d) of every query with every ref: the queries go out in blocks, and nothing is shuffled."""
+    ship(refs.sparkSession)
+    spark, schema, out = refs.sparkSession, "qid long, orig_id long, d long", None
+    for ids, vectors in query_blocks(queries):
+        held = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
+
+        def run(batches, held=held):
+            qids, q = held.value
+            for batch in batches:
+                rows, refs_of = vectors_of(batch, "q"), batch.column(0).to_numpy(zero_copy_only=False)
+                step = max(1, 500_000 // max(1, len(q)))
+                for a in range(0, len(rows), step):
+                    part = rows[a : a + step]
+                    d = np.einsum("ij,ij->i", part, part)[:, None] + np.einsum("ij,ij->i", q, q)[None] - 2 * (part @ q.T)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids, len(part))), pa.array(np.repeat(refs_of[a : a + step], len(q)).astype(np.int64)), pa.array(d.ravel().astype(np.int64))], ["qid", "orig_id", "d"])
+
+        part = refs.select("orig_id", "q").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], schema)
+
+
 def vote(queries: DataFrame, neighbours: DataFrame, k: int = K) -> DataFrame:
     """(qid, frauds, fraud_score, approved): missing neighbours count as legitimate."""
     n = neighbours.groupBy("qid").agg(F.sum("label").cast("long").alias("_n"))

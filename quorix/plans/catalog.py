@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quorix.functions import features as feature
 from quorix.functions import scalar
 from quorix.operators import evaluate, knn, score
-from quorix.plans.oracle import EMB, ORACLE, ROUNDS, SAMPLE, D, K
+from quorix.plans.oracle import ORACLE, ROUNDS, SAMPLE, D, K
 from quorix.sources import fixture, readers
 from quorix.streaming import scoring
 
@@ -82,9 +82,7 @@ def dequantize_grid(spark, d):
 @query
 def pairwise_sq_l2(spark, d):
     refs, queries = _emb(spark, d)
-    # The query set is one row in twenty of a table of vectors, met block by block in brute_force; all pairs are the result here.
-    pairs = queries.withColumnRenamed("q", "a").join(refs.select("orig_id", F.col("q").alias("b")))
-    return pairs.select("qid", "orig_id", knn.squared_distance(F.col("a"), F.col("b"), EMB).alias("d"))
+    return knn.distances(refs, queries)
 
 
 @query
