@@ -60,7 +60,8 @@ def _centroids(refs: DataFrame, d: str, rounds: int = ROUNDS) -> list[list[float
 def _index(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     refs, queries = _split(spark, d)
     centroids = _centroids(refs, d)
-    vectors = knn.assign(refs, centroids)
+    # Boxes, seeds and repairs all read the vectors; an index in use reads them from its tables.
+    vectors = knn.assign(refs, centroids).persist()
     return queries, vectors, knn.clusters_of(vectors, centroids, D)
 
 
