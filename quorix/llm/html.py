@@ -1,14 +1,15 @@
 """Main text of web pages, by removing what a site repeats.
 
 Each page becomes a tree of elements. A subtree's hash covers its tags, attributes
-and text. Spark counts, for each host, on how many of its pages a subtree stands
-(once a page); a subtree that stands on enough pages of its host, in number and in
-share, is part of the site's template and is deleted, as are elements whose tag,
+and text. Spark counts, for each host, beside how many different texts a subtree
+stands: pages count once for each set of long texts outside of it, so copies of a
+page count as one and don't delete their own text. A subtree that stands on enough pages
+of its host, in number and in share (or 1,000 of them), is part of the site's template and is deleted, as are elements whose tag,
 role or class says that they aren't article text (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments). Where a page has an
 article or main element, the text is what is left in it; else what is left of the
-body. A paragraph of an article is never taken for template: what stands in an
-article element counts only with its class or tag.
+body. In an article or main element only containers of blocks may be template, never
+lone paragraphs or headings.
 
 Counts meet pages in one of two ways: few enough recurring subtrees go to all
 executors as sorted hashes; more of them are joined by salted host, so a host with
@@ -17,13 +18,14 @@ a third of all pages is spread over tasks.
 Defined results: null and empty html give empty text; broken markup is read as
 browsers mostly do (a new paragraph ends an open one, an end tag without a start is
 skipped, what is open at the end is closed); null urls count as one host; repeated
-pages count each; an empty table gives no rows.
+pages count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,9 @@ from quorix.llm.common import chunks, stored, table
 
 #: A subtree is template if it stands on so many pages of its host, and on this share of them.
 PAGES, SHARE = 3, 0.1
+#: So many pages are enough on any host.
+ENOUGH = 1000
+MASK = (1 << 64) - 1
 #: Recurring subtrees that may go to all executors: 16 MB of hashes.
 BROADCAST = 2_000_000
 SALTS = 16
@@ -48,6 +53,8 @@ DROP = frozenset("script style noscript template nav footer aside form button se
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "body", "html"}
 INLINE = frozenset("a abbr b big cite code em font i mark q s small span strike strong sub sup tt u".split())
+#: What may be template inside an article, where it holds blocks.
+CONTAINERS = frozenset("center details div dl fieldset ol section table ul".split())
 #: Same-level elements that end each other, and what keeps them apart.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
@@ -160,21 +167,34 @@ def host_of(url: str | None) -> str:
     return m[1].lower().removeprefix("www.") if m else ""
 
 
-def candidates(nodes: list[Node], root: Node) -> set[int]:
-    """Hashes of the subtrees that may be template: all but what stands in an article, and what holds one."""
-    out: set[int] = set()
-    holds: dict[int, bool] = {}
-    for node in reversed(nodes):
-        holds[id(node)] = node.tag in ("article", "main") or any(holds[id(c)] for c in node.children if c.__class__ is Node)
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        if node.tag in ("article", "main"):
-            continue
-        if not holds[id(node)] and node.children and node.tag not in ("#root", "html", "body"):
-            out.add(node.hash)
-        todo += [c for c in node.children if c.__class__ is Node]
-    return out
+def may_go(node: Node, within: bool) -> bool:
+    """Whether a recurring subtree of this kind may be template: in an article or main element only containers of blocks."""
+    return not within or node.tag in CONTAINERS and any(c.__class__ is Node and c.tag in BLOCK for c in node.children)
+
+
+def candidates(nodes: list[Node], root: Node) -> tuple[int, dict[int, int]]:
+    """A hash of the page's long texts, and the hashes of the subtrees that may be template, each with that of the long texts outside of it.
+
+    Long are the texts of elements that have a quarter of the longest one's length; no candidate holds an article.
+    """
+    n = len(nodes)
+    size, holds, within, raw, texts = [1] * n, [False] * n, [False] * n, [False] * n, [""] * n
+    place = {id(node): i for i, node in enumerate(nodes)}
+    kids = [[place[id(c)] for c in node.children if c.__class__ is Node] for node in nodes]
+    for i, node in enumerate(nodes):
+        inside, skip = within[i] or node.tag in ("article", "main"), raw[i] or node.tag in DROP
+        for k in kids[i]:
+            within[k], raw[k] = inside, skip
+        if not skip:
+            texts[i] = " ".join(" ".join(c for c in node.children if c.__class__ is str).split())
+    for i in range(n - 1, -1, -1):
+        size[i] += sum(size[k] for k in kids[i])
+        holds[i] = nodes[i].tag in ("article", "main") or any(holds[k] for k in kids[i])
+    least = max(1, max(map(len, texts)) / 4)
+    sums = [0, *accumulate(xxhash.xxh64_intdigest(t) if len(t) >= least else 0 for t in texts)]
+    # The descendants of an element follow it.
+    out = {node.hash: (sums[n] - sums[i + size[i]] + sums[i]) & MASK for i, node in enumerate(nodes) if not holds[i] and node.children and node.tag not in ("#root", "html", "body") and may_go(node, within[i])}
+    return sums[n] & MASK, out
 
 
 def text_of(root: Node, nodes: list[Node], template) -> str:
@@ -204,7 +224,7 @@ def text_of(root: Node, nodes: list[Node], template) -> str:
                 parts.append(item)
         else:
             top = bool(tops) and id(item) in tops
-            if by_rule(item, within) or not within and not top and item.hash in template:
+            if by_rule(item, within) or not top and may_go(item, within) and item.hash in template:
                 continue
             if item.tag in ("br", "wbr"):
                 parts.append(" " if item.tag == "br" else "")
@@ -229,22 +249,24 @@ def recurring(pages: DataFrame, url_col: str = "url", html_col: str = "html", le
     ship(pages.sparkSession)
     def run(batches):
         for batch in chunks(batches, "html"):
-            hosts, keys, found = [], [], {}
+            found = set()
             for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 root = parse(page or "")
                 nodes = order_of(root)
                 hash_subtrees(nodes)
                 host = host_of(url)
-                found[host, 0, 0] = found.get((host, 0, 0), 0) + 1
-                for h in candidates(nodes, root):
-                    found[host, _key(host, h), 1] = found.get((host, _key(host, h), 1), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found], pa.int64()), pa.array([k[2] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["host", "key", "kind", "n"])
-
-    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "host string, key long, kind int, n long")
-    counts = stored(seen.groupBy("host", "key", "kind").agg(F.sum("n").alias("n")), "subtrees")
+                whole, inner = candidates(nodes, root)
+                found.add((host, 0, 0, whole))
+                for h, rest in inner.items():
+                    found.add((host, _key(host, h), 1, rest))
+            host, key, kind, rest = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(np.array(rest, np.uint64).view(np.int64))], ["host", "key", "kind", "rest"])
+
+    seen = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, "host string, key long, kind int, rest long")
+    counts = stored(seen.distinct().groupBy("host", "key", "kind").agg(F.count("*").alias("n")), "subtrees")
     often = counts.where((F.col("kind") == 1) & (F.col("n") >= least))
     sizes = counts.where("kind = 0").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    return stored(often.join(sizes, F.col("host") == F.col("h")).where(F.col("n") >= share * F.col("pages")).select("host", "key"), "template")
+    return stored(often.join(sizes, F.col("host") == F.col("h")).where(F.col("n") >= F.least(share * F.col("pages"), F.lit(ENOUGH))).select("host", "key"), "template")
 
 
 class _Template:

@@ -346,6 +346,17 @@ def test_main_text(spark, none):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_blocks_in_articles_and_copies_of_pages(spark):
+    box = "<div class=x><p>Read also these stories</p><ul><li>One</li><li>Two</li></ul></div>"
+    rows = [(i, "http://a.example/", f"<body><article><p>Own text of page {i} " + f"word{i} " * 20 + f"</p><p>Same line</p>{box}</article></body>") for i in range(6)]
+    copy = "<body><div><p>The whole story " + "again " * 20 + "</p><p>Its second part</p></div><p>{}</p></body>"
+    rows += [(10 + i, "http://b.example/", copy.format(f"No. {i}")) for i in range(4)]
+    rows += [(20 + i, "http://c.example/", copy.format("same")) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(f"Own text of page {i}" in got[i] and "Same line" in got[i] and "Read also" not in got[i] and "Two" not in got[i] for i in range(6))
+    assert all("The whole story" in got[k + i] and "Its second part" in got[k + i] for k in (10, 20) for i in range(4))
+
+
 def test_pages_of_the_table(spark, data):
     got = html.op7_html(spark, data).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) > 0 and "©" not in r["text"] for r in got)
