@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,6 +148,18 @@ class Spans:
         return mix(x + (ends - starts).astype(np.uint64))
 
 
+#: Longer words are hashed one by one: sums of powers modulo 2**64 have known collisions from some hundred bytes on.
+LONG_WORD = 256
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of some bytes."""
+    out = Spans(data).hash(starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), 11)
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word; no word crosses rows."""
     n = len(data)

@@ -71,19 +71,60 @@ def test_ppm_base_and_probabilities(spark, data):
     assert (got.score < 0).all()
 
 
-def test_ppm_automaton_is_the_trie(spark, make):
-    train = ["the cat sat on the mat", "The Cat ran", "a dog — ü", None, ""]
-    model = ppm.train(ppm.corpus_counts(make(train), order=3), 3, 60)
-    a = int(model.symbol.max()) + 1
-    p = 10 ** model.cost.reshape(-1, a).astype(float)
-    assert np.allclose(p[:, :-1].sum(1) + p[:, -1] * (256 - (a - 1)), 1, atol=1e-5)
-    trie = ppm.Adaptive(3)
+def brute(train, order=ppm.ORDER):
+    trie = ppm.Adaptive(order)
     for t in train:
         trie.text(t)
-    for t in ["the cat", "zebra ☃", "", "A DOG on the mat" * 50]:
-        raw = t.encode()
-        got = model.score(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
-        assert abs(got - trie.text(t, False)) < 1e-3 * max(1, len(raw))
+    return trie
+
+
+@pytest.mark.parametrize("order", [1, 6])
+def test_ppm_equals_a_trie_in_memory(spark, make, monkeypatch, order):
+    """Every text's score, with and without joins and with either root."""
+    train = ["the cat sat on the mat", "The Cat ran", "a dog — ü", None, "", "the cat sat on the mat"]
+    new = ["the cat", "zebra ☃", "", "A DOG on the mat" * 50, None, "\x00ü"]
+    docs = make(new)
+    trie = brute(train, order)
+    want = [trie.text(t, False) for t in new]
+    counts = ppm.corpus_counts(make(train), order=order)
+    for grams, low in ((ppm.HELD_GRAMS, ppm.LOW_GRAMS), (3, ppm.LOW_GRAMS), (ppm.HELD_GRAMS, 0)):
+        monkeypatch.setattr(ppm, "LOW_GRAMS", low)
+        monkeypatch.setattr(ppm.frequent, "__defaults__", (grams,))
+        got = [r["score"] for r in ppm.score(docs, counts, order=order).orderBy("doc_id").collect()]
+        assert np.allclose(got, want, atol=1e-6), (grams, low)
+
+
+def test_ppm_probabilities_add_up():
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in ("abracadabra alakazam", "abba")]
+    key, n = ppm.merged(*zip(*(ppm.grams_of(x, np.array([0, len(x)]), 3) for x in raw)))
+    for context in {int(k) >> 8 for k in key} | {0x010203}:
+        every = np.uint64(context << 8) | np.arange(256, dtype=np.uint64)
+        both, counts = ppm.merged([key, every], [n, np.zeros(256, np.int64)])
+        cost = ppm.costs_of(both, counts, [], 3)
+        assert abs((10 ** cost[np.searchsorted(both, every)]).sum() - 1) < 1e-9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_ppm_query_on_held_out_rows(spark, data, sf):
+    """Equal to a trie in memory on the small tables; on the larger ones ahead of the word base."""
+    at = data.replace("sf0.001", sf)
+    got = ppm.op1_ppm(spark, at).toPandas().set_index("doc_id")
+    if sf == "sf0.001":
+        rows = texts(spark, at)
+        trie = brute([t for i, t in zip(rows.doc_id, rows.text) if zlib.crc32(str(i).encode()) % 10])
+        some = rows[rows.text.str.len() < 3000]
+        assert len(some) > 100 and np.allclose(got.score.loc[some.doc_id], [trie.text(t, False) for t in some.text], rtol=1e-9)
+    else:
+        held = got[got.held_out]
+        assert len(held) > 900 and held.score.sum() > held.base_score.sum() and (held.score > held.base_score).mean() > 0.8
+
+
+def test_long_words_are_told_apart(spark, make):
+    """Two words of 1,024 letters whose sums of powers modulo 2**64 are equal."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    got = ppm.score(make([other]), ppm.corpus_counts(make([word])), order=2).collect()
+    assert got[0]["n_known"] == 1  # the end only
 
 
 def test_ppm_odd(spark, odd, none):
