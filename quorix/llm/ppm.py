@@ -49,9 +49,9 @@ WORD_SHARE = 20
 END = 0xFF  # in no UTF-8 text
 DISCOUNT = 0.3
 #: Distinct keys that a task holds before it puts them out.
-HELD = 1_000_000
-#: Grams whose costs go to all executors: 48 MB.
-HELD_GRAMS = 3_000_000
+HELD = 800_000
+#: Grams whose costs go to all executors: 32 MB.
+HELD_GRAMS = 2_000_000
 #: Grams of three bytes that may go to all tasks, 64 MB; beyond, those of two bytes do.
 LOW_GRAMS = 4_000_000
 #: Grams that a task prices at once, besides those of one root.
@@ -131,7 +131,7 @@ def corpus_counts(docs: DataFrame, text_col: str = "text", order: int = ORDER, l
                 if sum(map(len, held[kind][0])) > HELD:
                     k, c = merged(*held[kind])
                     held[kind] = ([k], [c])
-                    if len(k) > HELD // 2:
+                    if 4 * len(k) > 3 * HELD:
                         yield out(kind)
             texts += taught * batch.num_rows
         for kind in (0, 1):
