@@ -6,13 +6,19 @@ that lie in a window the least hash is a fingerprint (the last one of equals). S
 any run of whole lines of ``sure`` words or more that stands in two documents has
 a fingerprint in common, and nothing shorter than ``noise`` words is ever found.
 
-Occurrences of a fingerprint are joined with its first one, in the order of
-(document id, line); matches on one diagonal of two documents are one link, and
-are extended both ways by comparing the two documents' line hashes along it. Runs
-of equal lines of ``noise`` words or more are deleted from the later document.
+Fingerprints that stand in two places are joined with their positions: their
+documents are the ones that may repeat a run. Of these documents all grams are
+compared, forward ones and the shortest ones that end at a line: a gram is a repeat
+if it stood before, in the order of (document id, first line), in whichever
+document, so a run needs no one partner and a fingerprint with many places no
+pairs. From each fingerprint that stood before, the match is extended both ways
+over repeated grams that meet, and the lines of the whole run are deleted. Each
+deleted line has an equal one before it, so the first of them stays.
 Within one document every gram counts: lines of a gram that came before are
-deleted, and a fingerprint's first place in a document stands for it towards others.
-A group of k copies makes k links, each to the first.
+deleted, and a fingerprint's first place in a document stands for it.
+
+Rows go by hash of a gram to sums with partial aggregation; the join of a hot gram
+has one row on its other side, so that adaptive execution splits it.
 
 Lines are split at \\n and compared whole; words are runs of what isn't a space or
 tab to carriage return. Lines without words are neither compared nor deleted.
@@ -27,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorix.llm.common import stored, table
+from quorix.llm.common import drop, stored, table
 
 WORD = r"[^ \t-\r]+"
 NOISE, SURE = 25, 50
@@ -64,31 +70,63 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, noise: int, sure: in
     )
 
 
+def grams_at(noise: int) -> Column:
+    """(g, a, b): all grams of the lines (h, n), forward and backward, with first line and end."""
+    items = F.arrays_zip("h", "n")
+
+    def ways(items: Column, seed: int) -> Column:
+        zero = F.struct(F.lit(0).alias("s"), F.lit(0).alias("len"), F.lit(seed).cast("long").alias("g"))
+        add = lambda x, y: F.when(x["s"] >= noise, x).otherwise(F.struct((x["s"] + y["n"]).cast("int").alias("s"), (x["len"] + 1).alias("len"), F.xxhash64(x["g"], y["h"]).alias("g")))
+        return F.transform(items, lambda x, p: F.struct(F.aggregate(F.slice(items, p + 1, noise), zero, add).alias("x"), p.alias("p")))
+
+    def kept(found: Column, a, b) -> Column:
+        return F.transform(F.filter(found, lambda y: y["x"]["s"] >= noise), lambda y: F.struct(y["x"]["g"].alias("g"), a(y).cast("int").alias("a"), b(y).cast("int").alias("b")))
+
+    size = F.size("h")
+    on = kept(ways(items, 42), lambda y: y["p"], lambda y: y["p"] + y["x"]["len"])
+    back = kept(ways(F.reverse(items), 43), lambda y: size - y["p"] - y["x"]["len"], lambda y: size - y["p"])
+    return F.concat(on, back)
+
+
+def owned(places: DataFrame, start: str) -> DataFrame:
+    """(fg, fdk, fat): the first place of each g of places (g, dk, id, start) that has more than one."""
+    order = F.struct("id", "dk", F.col(start).alias("at"))
+    both = places.groupBy("g").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f.dk <> l.dk or f.at <> l.at")
+    return both.select(F.col("g").alias("fg"), F.col("f.dk").alias("fdk"), F.col("f.at").alias("fat"))
+
+
 def deletions(lines: DataFrame, noise: int) -> DataFrame:
     """(dk, gone, whole): the lines to delete from each document that has any, and whether no line with words is left."""
     picks = stored(lines.select("dk", "id", F.explode("picks").alias("x")).select("dk", "id", F.col("x.g").alias("g"), F.col("x.q").alias("q")), "linefp")
-    first = stored(picks.groupBy("g").agg(F.min(F.struct("id", "dk", "q")).alias("f"), F.count("*").alias("c")).where("c > 1").select(F.col("g").alias("fg"), F.col("f.dk").alias("fdk"), F.col("f.q").alias("fq")), "linefirst")
-    links = picks.join(first, picks.g == first.fg).where("dk <> fdk").select("dk", "fdk", (F.col("q") - F.col("fq")).alias("shift")).distinct()
-    links = stored(links, "linelinks")
-    later = lines.select(F.col("dk").alias("ldk"), "at", "h", "n")
-    earlier = lines.select(F.col("dk").alias("edk"), F.col("h").alias("h0"))
-    both = links.join(later, links.dk == later.ldk).join(earlier, F.col("fdk") == F.col("edk"))
-    same = both.select("dk", "at", "n", F.transform("h", lambda x, i: F.coalesce(x == F.get("h0", (i - F.col("shift")).cast("int")), F.lit(False))).alias("same"))
+    first = owned(picks, "q")
+    matched = picks.join(first, picks.g == first.fg)
+    again = F.when((F.col("dk") != F.col("fdk")) | (F.col("q") != F.col("fat")), F.col("q"))
+    found = matched.groupBy("dk").agg(F.sort_array(F.collect_set(again)).alias("qs")).withColumnRenamed("dk", "mdk")
+    some = lines.join(found, F.col("dk") == F.col("mdk")).dropDuplicates(["dk"]).select("dk", "id", "at", "h", "n", "qs")
+    some = stored(some, "linesome")
+    drop(picks)
+    grams = stored(some.select("dk", "id", F.explode(grams_at(noise)).alias("x")).select("dk", "id", "x.g", "x.a", "x.b"), "linegrams")
+    owner = owned(grams, "a")
+    repeats = grams.join(owner, grams.g == owner.fg).where((F.col("dk") != F.col("fdk")) | (F.col("a") != F.col("fat")))
+    spans = repeats.groupBy(F.col("dk").alias("sdk")).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     none = F.array().cast("array<struct<a:int,b:int>>")
+    zero = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), none.alias("out"))
 
-    def close(a: Column, i: Column) -> Column:
-        return F.when(a["w"] >= noise, F.concat(a["out"], F.array(F.struct(a["a"].alias("a"), i.alias("b"))))).otherwise(a["out"])
+    def close(x: Column) -> Column:
+        """The runs so far, with the open one if a matched fingerprint stands in it."""
+        return F.when(F.exists("qs", lambda q: (q >= x["a"]) & (q < x["b"])), F.concat(x["out"], F.array(F.struct(x["a"].alias("a"), x["b"].alias("b"))))).otherwise(x["out"])
 
-    def step(a: Column, x: Column) -> Column:
-        on = F.struct(F.when(a["w"] == 0, x["i"]).otherwise(a["a"]).alias("a"), (a["w"] + x["n"]).alias("w"), a["out"].alias("out"))
-        return F.when(x["same"], on).otherwise(F.struct(F.lit(0).alias("a"), F.lit(0).alias("w"), close(a, x["i"]).alias("out")))
+    def step(x: Column, y: Column) -> Column:
+        meets = F.struct(x["a"].alias("a"), F.greatest(x["b"], y["b"]).alias("b"), x["out"].alias("out"))
+        return F.when(y["a"] <= x["b"], meets).otherwise(F.struct(y["a"].alias("a"), y["b"].alias("b"), close(x).alias("out")))
 
-    zipped = F.transform("same", lambda s, i: F.struct(s.alias("same"), i.alias("i"), F.get("n", i).alias("n")))
-    runs = same.select("dk", "at", F.aggregate(zipped, F.struct(F.lit(0).alias("a"), F.lit(0).alias("w"), none.alias("out")), step, lambda a: close(a, F.size("at"))).alias("runs"))
+    runs = some.join(spans, F.col("dk") == F.col("sdk")).select("dk", "at", F.aggregate("spans", zero, step, close).alias("runs"))
     gone = runs.select("dk", F.size("at").alias("n"), F.flatten(F.transform("runs", lambda r: F.slice("at", r["a"] + 1, r["b"] - r["a"]))).alias("gone")).where(F.size("gone") > 0)
     own = lines.select("dk", F.size("at").alias("n"), F.col("own").alias("gone")).where(F.size("gone") > 0)
-    found = gone.unionByName(own).groupBy("dk").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
-    return found.select("dk", "gone", (F.size("gone") >= F.col("n")).alias("whole"))
+    both = gone.unionByName(own).groupBy("dk").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
+    out = stored(both.select("dk", "gone", (F.size("gone") >= F.col("n")).alias("whole")), "linegone")
+    drop(some, grams)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, sure: int = SURE, counts: bool = False, drop_emptied: bool = False, length_col: str | None = None) -> DataFrame:
@@ -99,7 +137,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that takes the code points of each text that was cut.
     """
     lines = stored(line_table(docs, id_col, text_col, noise, sure), "lines")
-    gone = stored(deletions(lines, noise), "linegone").select(F.col("dk").alias("_quorix_dk"), F.col("gone").alias("_quorix_gone"), F.col("whole").alias("_quorix_whole"))
+    found = deletions(lines, noise)
+    drop(lines)
+    gone = found.select(F.col("dk").alias("_quorix_dk"), F.col("gone").alias("_quorix_gone"), F.col("whole").alias("_quorix_whole"))
     names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
     out = docs.select(*names, _key(id_col, text_col).alias("_quorix_k")).join(gone.hint("merge"), F.col("_quorix_k") == F.col("_quorix_dk"), "left")
     if drop_emptied:

@@ -296,6 +296,99 @@ def test_runs_of_enough_words_are_all_found(spark, data):
     assert total and not missed
 
 
+def cut(docs, noise=25, sure=50):
+    """What is left of documents (id: text) whose ids are distinct, by plain loops."""
+    import xxhash
+
+    def digest(value, seed):
+        return xxhash.xxh64_intdigest(value if isinstance(value, bytes) else (value % (1 << 64)).to_bytes(8, "little"), seed)
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+
+    def gram(lines, p, words, step=1, seed=42):
+        s, k, g = 0, p, seed
+        while 0 <= k < len(lines) and s < words:
+            s, g, k = s + lines[k][2], digest(lines[k][1], digest(g, 42)), k + step
+        return (signed(g), p, k) if s >= words else None
+
+    table, picks = {}, collections.defaultdict(list)
+    for i, t in docs.items():
+        lines = [(k, signed(digest(x.encode(), 42)), len(WORD.findall(x))) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+        table[i], mine = lines, {}
+        for p in range(len(lines)):
+            if window := gram(lines, p, sure):
+                fits = [y for k in range(p, window[2]) if (y := gram(lines, k, noise)) and y[2] <= window[2]]
+                if fits:
+                    g, q, _ = min(fits, key=lambda y: (y[0], -y[1]))
+                    mine[g] = min(q, mine.get(g, q))
+        for g, q in mine.items():
+            picks[g].append((i, q))
+    matched = collections.defaultdict(set)
+    for where in picks.values():
+        for i, q in where if len(where) > 1 else ():
+            matched[i] |= {q} if (i, q) != min(where) else set()
+    gone, places = collections.defaultdict(set), collections.defaultdict(list)
+    for i, lines in table.items():
+        seen = set()
+        for p in range(len(lines)):
+            if y := gram(lines, p, noise):
+                if y[0] in seen:
+                    gone[i] |= set(range(y[1], y[2]))
+                seen.add(y[0])
+                places["on", y[0]].append((i, p, y[2]))
+            if y := gram(lines, p, noise, -1, 43):
+                places["back", y[0]].append((i, y[2] + 1, p + 1))
+    spans = collections.defaultdict(list)
+    for where in places.values():
+        where = [w for w in where if w[0] in matched]
+        for w in where:
+            if w[:2] != min(where)[:2]:
+                spans[w[0]].append(w[1:])
+    for i, found in spans.items():
+        runs = []
+        for a, b in sorted(found):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(b, runs[-1][1])
+            else:
+                runs.append([a, b])
+        for a, b in runs:
+            if any(a <= q < b for q in matched[i]):
+                gone[i] |= set(range(a, b))
+    return {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {table[i][j][0] for j in gone[i]}) for i, t in docs.items()}
+
+
+def test_lines_equal_brute_force(spark, data, make):
+    rows = texts(spark, data)
+    r = random.Random(12)
+    pool = [para(100 + k, r.choice([2, 6, 12, 30, 60])) for k in range(60)]
+    made = {10**6 + k: "\n".join(["", *(r.choice(pool) if r.random() < 0.6 else para(r.randrange(10**6), 9) for _ in range(r.randrange(1, 14)))]) for k in range(150)}
+    docs = {**dict(zip(rows.doc_id.tolist(), rows.text)), **made, 5 * 10**6: None, 5 * 10**6 + 1: ""}
+    want = cut(docs)
+    assert sum(want[i] != docs[i] for i in docs) > 60
+    frame = make(list(docs.items()))
+    got = linededup.dedup_lines(frame.unionByName(frame.limit(40))).collect()  # repeated rows are cut alike
+    assert len(got) == len(docs) + 40 and {x["doc_id"]: x["text"] for x in got} == want and all(x["text"] == want[x["doc_id"]] for x in got)
+
+
+def test_runs_with_other_partners(spark, make):
+    """The middle of a run stands in an earlier document, or at several places there."""
+    docs, around = [], {}
+    for seed in range(12):
+        one, mid, three = (para(1000 * seed + k, 30) for k in range(3))
+        x = around[seed] = [para(1000 * seed + 10 + k, 30) for k in range(7)]
+        docs += ["\n".join(t) for t in ([x[0], mid, x[1], x[2], mid], [x[3], one, mid, three, x[4]], [x[5], one, mid, three, x[6]])]
+    got = {r["doc_id"]: r["text"].split("\n") for r in linededup.dedup_lines(make(docs)).collect()}
+    for seed, x in around.items():
+        assert got[3 * seed + 2] == [x[5], x[6]] and len(got[3 * seed + 1]) >= 4
+
+
+def test_many_equal_rows_make_few_rows(spark, make):
+    text = "\n".join(para(k, 30) for k in range(4))
+    docs = make([(1, text)] * 400 + [(2, text)] * 400 + [(3, text + "\nmore")])
+    got = collections.Counter((r["doc_id"], r["text"]) for r in linededup.dedup_lines(docs).collect())
+    assert got == {(1, text): 400, (2, ""): 400, (3, "more"): 1}
+
+
 def test_lines_odd(spark, odd, none):
     out = linededup.dedup_lines(odd, counts=True)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
