@@ -98,16 +98,16 @@ def owned(places: DataFrame, start: str) -> DataFrame:
 def deletions(lines: DataFrame, noise: int) -> DataFrame:
     """(dk, gone, whole): the lines to delete from each document that has any, and whether no line with words is left."""
     picks = stored(lines.select("dk", "id", F.explode("picks").alias("x")).select("dk", "id", F.col("x.g").alias("g"), F.col("x.q").alias("q")), "linefp")
-    first = owned(picks, "q")
-    matched = picks.join(first, picks.g == first.fg)
+    first = stored(owned(picks, "q"), "linefirst")
+    matched = picks.join(first.hint("merge"), picks.g == first.fg)
     again = F.when((F.col("dk") != F.col("fdk")) | (F.col("q") != F.col("fat")), F.col("q"))
     found = matched.groupBy("dk").agg(F.sort_array(F.collect_set(again)).alias("qs")).withColumnRenamed("dk", "mdk")
     some = lines.join(found, F.col("dk") == F.col("mdk")).dropDuplicates(["dk"]).select("dk", "id", "at", "h", "n", "qs")
     some = stored(some, "linesome")
-    drop(picks)
+    drop(picks, first)
     grams = stored(some.select("dk", "id", F.explode(grams_at(noise)).alias("x")).select("dk", "id", "x.g", "x.a", "x.b"), "linegrams")
-    owner = owned(grams, "a")
-    repeats = grams.join(owner, grams.g == owner.fg).where((F.col("dk") != F.col("fdk")) | (F.col("a") != F.col("fat")))
+    owner = stored(owned(grams, "a"), "lineowner")
+    repeats = grams.join(owner.hint("merge"), grams.g == owner.fg).where((F.col("dk") != F.col("fdk")) | (F.col("a") != F.col("fat")))
     spans = repeats.groupBy(F.col("dk").alias("sdk")).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     none = F.array().cast("array<struct<a:int,b:int>>")
     zero = F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"), none.alias("out"))
@@ -125,7 +125,7 @@ def deletions(lines: DataFrame, noise: int) -> DataFrame:
     own = lines.select("dk", F.size("at").alias("n"), F.col("own").alias("gone")).where(F.size("gone") > 0)
     both = gone.unionByName(own).groupBy("dk").agg(F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_set("gone"))).alias("gone"))
     out = stored(both.select("dk", "gone", (F.size("gone") >= F.col("n")).alias("whole")), "linegone")
-    drop(some, grams)
+    drop(some, grams, owner)
     return out
 
 
