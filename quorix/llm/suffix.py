@@ -8,22 +8,31 @@ a repeat; equal regions of a group are counted before the shuffle and their text
 sent once. A shard cuts the regions of its groups into narrow ones, drops those whose
 common core no other has, and sorts the suffixes of the rest:
 
+A group of more than ``HOT`` distinct regions isn't sent to one shard: its regions are
+cut into narrow ones before the shuffle, equal ones are counted, lone ones dropped, and
+the narrow regions are groups of their own; one of those with more than ``HOT`` distinct
+texts is cut once more, into single strings, of which equal ones are counted.
+
 Induced sorting: the starred suffixes are named by their substrings and sorted by
 recursion where names repeat; queues in the order of (first symbol, rank of the rest)
 then induce all others, first the L suffixes upwards, then the S suffixes downwards.
 Tuples carry the rank of the suffix they come from; the common prefix of two
 neighbours is one more than the least one between their sources, so the common-prefix
-values are carried through induction and recursion along with the order. Queues keep
-sorted runs, large ones in files that are memory-mapped, and so do long arrays; what
-is in memory at once is a batch from the head of each run.
+values are carried through induction and recursion along with the order.
+
+Text, order, common prefixes, queue runs and all other arrays of more than ``IN_MEMORY``
+entries are in files that are memory-mapped; they are made, merged and read in blocks,
+and more starred suffixes than that are named by an induction of their own. So what is
+in memory at once has a bound, however long the text is.
 
 A start is repeated where a neighbour in the suffix array shares ``length`` bytes with
-it, or where its region or narrow region stands more than once. Every byte covered by
-a repeated string goes, all occurrences included.
+it, or where its region or narrow region stands more than once (by 64-bit hash). Every
+byte covered by a repeated string goes, all occurrences included.
 
 Defined results: null and empty texts, and texts shorter than the string, lose nothing;
 rows equal in id and text are two occurrences and are cut alike; nulls in ids are fine;
-an empty table gives no rows.
+an empty table gives no rows. The text that is left drops the bytes of a character that
+was cut in two.
 """
 
 from __future__ import annotations
@@ -34,6 +43,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +52,10 @@ from quorix.llm.common import CHUNK, Spans, chunks, drop, mix, stored, table, te
 
 LENGTH, GRAM, NARROW = 400, 160, 24
 SHARD_BYTES = 2 << 20
-#: Longer runs and arrays are in files.
-IN_MEMORY = 1 << 22
+#: Distinct regions of a group that go to one shard.
+HOT = 2000
+#: Longer runs and arrays are in files, and read in blocks.
+IN_MEMORY, BLOCK = 1 << 22, 1 << 18
 FAR = np.iinfo(np.int64).max
 
 
@@ -59,6 +71,31 @@ def room(n: int, kind=np.int64) -> np.ndarray:
         os.unlink(path)
 
 
+def blocks(n: int) -> list[tuple[int, int]]:
+    """All of a short array, or blocks of a long one."""
+    step = max(1, n if n <= IN_MEMORY else BLOCK)
+    return [(a, min(n, a + step)) for a in range(0, n, step)]
+
+
+def merge_runs(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct keys and their places as one."""
+    n = len(a) + len(b)
+    keys, places = room(n), room(n)
+    i = j = done = 0
+    step = n if n <= IN_MEMORY else BLOCK
+    while done < n:
+        x, y = a[i : i + step], b[j : j + step]
+        # Up to the end of the block that ends first, all is there.
+        most = min([z[-1] for z, at, whole in ((x, i, a), (y, j, b)) if at + step < len(whole)], default=FAR)
+        u, v = int(np.searchsorted(x, most, "right")), int(np.searchsorted(y, most, "right"))
+        both = np.concatenate([x[:u], y[:v]])
+        order = np.argsort(both, kind="stable")
+        keys[done : done + u + v] = both[order]
+        places[done : done + u + v] = np.concatenate([p[i : i + u], q[j : j + v]])[order]
+        i, j, done = i + u, j + v, done + u + v
+    return keys, places
+
+
 class Queue:
     """A priority queue of (key, place) for batches: sorted runs, merged when a run is less than twice the next."""
 
@@ -69,15 +106,14 @@ class Queue:
         if not len(keys):
             return
         order = np.argsort(keys, kind="stable")
-        self.runs.append([keys[order], places[order], 0])
+        self.put(keys[order], places[order])
+
+    def put(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """A run that is sorted."""
+        self.runs.append([keys, places, 0])
         while len(self.runs) > 1 and len(self.runs[-2][0]) - self.runs[-2][2] < 2 * (len(self.runs[-1][0]) - self.runs[-1][2]):
             (a, p, i), (b, q, j) = self.runs.pop(), self.runs.pop()
-            n = len(a) - i + len(b) - j
-            both = np.concatenate([a[i:], b[j:]])
-            order = np.argsort(both, kind="stable")
-            keys, places = room(n), room(n)
-            keys[:], places[:] = both[order], np.concatenate([p[i:], q[j:]])[order]
-            self.runs.append([keys, places, 0])
+            self.runs.append([*merge_runs(a[i:], p[i:], b[j:], q[j:]), 0])
 
     def peek(self, most: int):
         """Up to ``most`` least items in order, and the run of each."""
@@ -88,6 +124,13 @@ class Queue:
         run = np.repeat(np.arange(len(heads)), [len(h[0]) for h in heads])
         return keys[order], places[order], run[order]
 
+    def all(self):
+        """Batches of all (key, place) in order; the queue is empty then."""
+        while self.runs:
+            keys, places, runs = self.peek(BLOCK)
+            self.take(runs)
+            yield keys, places
+
     def take(self, runs: np.ndarray) -> None:
         for r, n in zip(self.runs, np.bincount(runs, minlength=len(self.runs))):
             r[2] += int(n)
@@ -155,9 +198,12 @@ def induce(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, seed_common:
     n = len(text)
     symbol = (lambda p: top - text[p]) if down else (lambda p: text[p])
     total = len(seeds) + int(wanted.sum())
-    order, common, seeded = room(total), Minima(total), np.zeros(total, bool)
-    queue = Queue()
-    queue.push((symbol(seeds).astype(np.int64) << 33) | (1 << 32) | np.arange(len(seeds)), seeds)
+    order, common, seeded = room(total), Minima(total), room(total, bool)
+    queue, keys = Queue(), room(len(seeds))
+    for a, b in blocks(len(seeds)):  # in the order of their symbols
+        keys[a:b] = (symbol(seeds[a:b]).astype(np.int64) << 33) | (1 << 32) | np.arange(a, b)
+    if len(seeds):
+        queue.put(keys, seeds)
     done, size, last_p, last_key, last_r = 0, 256, -1, -1, -1
     while queue.runs:
         keys, p, runs = queue.peek(size)
@@ -169,7 +215,7 @@ def induce(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, seed_common:
         c, seed = keys >> 33, (keys >> 32) & 1 == 1
         bad = (c > least) | (c == least) & seed
         cut = int(bad.argmax()) if bad.any() else len(keys)
-        size = min(2 * size, 1 << 16) if cut == len(keys) else max(64, 2 * cut)
+        size = min(2 * size, 1 << 16, max(64, BLOCK)) if cut == len(keys) else max(64, 2 * cut)
         keys, p, makes, made, c, seed = keys[:cut], p[:cut], makes[:cut], made[:cut], c[:cut], seed[:cut]
         queue.take(runs[:cut])
         rank = keys & 0xFFFFFFFF
@@ -195,9 +241,9 @@ def induce(text: np.ndarray, wanted: np.ndarray, seeds: np.ndarray, seed_common:
     return order, common.value[:done], seeded
 
 
-def extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of suffix pairs that share so much at least, symbol by symbol."""
-    share = share.copy()
+def extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, cap) -> np.ndarray:
+    """Common prefixes of suffix pairs that share so much at least, symbol by symbol, up to cap."""
+    share, cap = share.copy(), np.broadcast_to(cap, share.shape)
     live = np.flatnonzero(share < cap)
     n = len(text)
     while len(live):
@@ -206,27 +252,44 @@ def extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, share: np.ndarray, ca
         good[good] = text[x[good]] == text[y[good]]
         live = live[good]
         share[live] += 1
-        live = live[share[live] < cap]
+        live = live[share[live] < cap[live]]
     return np.minimum(share, cap)
 
 
-def sort_suffixes(text: np.ndarray, cap: int = FAR >> 1) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and common prefixes (up to cap) of each suffix with the one before; text ends with its only 0."""
+def types_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How long the run of equal symbols from each suffix on is, and whether the suffix is S (the run goes up); from the end."""
     n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
-    # Runs of equal symbols, and the type of each suffix: S if the run goes up.
-    new = np.append(text[1:] != text[:-1], True)
-    stop = np.flatnonzero(new)[np.append(0, np.cumsum(new[:-1]))]
-    run = (stop - np.arange(n) + 1).astype(np.int64)
-    small = np.ones(n, bool)
-    inside = stop < n - 1
-    small[inside] = text[stop[inside] + 1] > text[stop[inside]]
-    starred = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.append(starred[1:], n - 1)
-    # Names: groups of equal substrings, split symbol by symbol in order.
-    m = len(starred)
-    name, order = np.zeros(m, np.int64), np.arange(m)
+    run, small = room(n), room(n, bool)
+    for a, b in reversed(blocks(n)):
+        x = np.asarray(text[a:b])
+        after = np.append(x[1:], text[b] if b < n else FAR)
+        new = x != after
+        last = np.flatnonzero(new)
+        at = np.append(0, np.cumsum(new[:-1]))
+        inside = int(last[-1]) + 1 if len(last) else 0
+        stop = last[at[:inside]]
+        run[a : a + inside] = stop + 1 - np.arange(inside)
+        small[a : a + inside] = after[stop] > x[stop]
+        if a + inside < b:
+            run[a + inside : b] = run[b] + np.arange(b - a - inside, 0, -1)
+            small[a + inside : b] = small[b]
+    return run, small
+
+
+def collected(n: int, find) -> np.ndarray:
+    """What find(a, b) gives for all blocks of n places, one after the other."""
+    out, done = room(sum(len(find(a, b)) for a, b in blocks(n))), 0
+    for a, b in blocks(n):
+        part = find(a, b)
+        out[done : done + len(part)] = part
+        done += len(part)
+    return out
+
+
+def named_in_memory(text: np.ndarray, small: np.ndarray, starred: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The rank of each starred substring, of equal ones the same: groups split symbol by symbol in order."""
+    n, m = len(text), len(starred)
+    name = np.zeros(m, np.int64)
     live, depth = np.arange(m), 0
     while len(live):
         at = starred[live] + depth
@@ -242,42 +305,116 @@ def sort_suffixes(text: np.ndarray, cap: int = FAR >> 1) -> tuple[np.ndarray, np
         size = np.repeat(np.diff(np.append(start, len(live))), np.diff(np.append(start, len(live))))
         live = live[(size > 1) & (starred[live] + depth < ends[live])]
         depth += 1
-    if len(np.unique(name)) == m:
-        order[name] = np.arange(m)
-        known = np.zeros(m, np.int64)
-    else:
-        _, small_name = np.unique(name, return_inverse=True)
-        order, names = sort_suffixes(small_name.astype(np.int64))
-        known = np.zeros(m, np.int64)
-        known[1:] = starred[np.minimum(order[1:] + names[1:], m - 1)] - starred[order[1:]]
-    seeds = starred[order]
-    seed_common = np.zeros(m, np.int64)
-    seed_common[1:] = extend(text, seeds[:-1], seeds[1:], known[1:], cap)
-    up, up_common, seeded = induce(text, ~small, seeds, seed_common, run, 0, cap, False)
-    large = np.flatnonzero(~seeded)
+    _, found = np.unique(name, return_inverse=True)
+    return found
+
+
+def named_by_induction(text: np.ndarray, small: np.ndarray, starred: np.ndarray, ends: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The same: starred suffixes in the order of their first symbols induce the order of the starred substrings."""
+    m, queue = len(starred), Queue()
+    for a, b in blocks(m):
+        queue.push((text[starred[a:b]].astype(np.int64) << 40) | np.arange(a, b), starred[a:b])
+    seeds, done = room(m), 0
+    for _, places in queue.all():
+        seeds[done : done + len(places)] = places
+        done += len(places)
+    order, _ = induced(text, small, seeds, room(m), run, 1)
+    place = lambda x: np.searchsorted(starred, x)
+    star = lambda x: starred[np.minimum(place(x), m - 1)] == x
+    ranked = collected(len(order), lambda a, b: (x := order[a:b])[star(x)])
+    name, last, rank = room(m), -1, -1
+    for a, b in blocks(m):
+        now = ranked[a:b]
+        before = np.append(last if a else now[0], now[:-1])
+        x, y = place(now), place(before)
+        size = ends[x] - now
+        same = size == ends[y] - before
+        same[same] = extend(text, now[same], before[same], np.zeros(int(same.sum()), np.int64), size[same] + 1) > size[same]
+        if not a:
+            same[0] = False
+        ranks = rank + np.cumsum(~same)
+        name[x] = ranks
+        last, rank = int(now[-1]), int(ranks[-1])
+    return name
+
+
+def induced(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, seed_common: np.ndarray, run: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes in order, with common prefixes, from the starred ones in order."""
+    n = len(text)
+    wanted = room(n, bool)
+    for a, b in blocks(n):
+        wanted[a:b] = ~small[a:b]
+    up, up_common, seeded = induce(text, wanted, seeds, seed_common, run, 0, cap, False)
+    large = collected(len(up), lambda a, b: np.flatnonzero(~seeded[a:b]) + a)
     # Neighbouring L suffixes of one symbol are neighbours in the upward order too.
-    places, shares = np.asarray(up[large])[::-1], np.asarray(up_common[large])
-    down_common = np.append(0, shares[1:][::-1]) if len(large) else shares
-    wanted = small.copy()
+    size = len(large)
+    places, down_common, most = room(size), room(size), 0
+    for a, b in blocks(size):
+        at = large[a:b]
+        places[size - b : size - a] = up[at][::-1]
+        shares = up_common[at]
+        # The share with the one before, of the one that comes next from the other end.
+        down_common[size - b + 1 : size - a + 1] = shares[::-1] if a else shares[1:][::-1]
+    for a, b in blocks(n):
+        wanted[a:b] = small[a:b]
+        most = max(most, int(text[a:b].max()))
     wanted[n - 1] = False
-    down, common, _ = induce(text, wanted, places, down_common, run, int(text.max()), cap, True)
-    array, prefix = np.append(n - 1, down[::-1]), np.zeros(n, np.int64)
-    prefix[2:] = common[1:][::-1]
+    down, common, _ = induce(text, wanted, places, down_common, run, most, cap, True)
+    array, prefix = room(n), room(n)
+    array[0] = n - 1
+    for a, b in blocks(n - 1):
+        array[n - b : n - a] = down[a:b][::-1]
+        first = max(a, 1)
+        prefix[n + 1 - b : n + 1 - first] = common[first:b][::-1]
     return array, prefix
 
 
+def sort_suffixes(text: np.ndarray, cap: int = FAR >> 1) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and common prefixes (up to cap) of each suffix with the one before; text ends with its only 0."""
+    n = len(text)
+    if n == 1:
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
+    run, small = types_of(text)
+    starred = collected(n, lambda a, b: np.flatnonzero(small[a:b] & ~np.append(True if not a else small[a - 1], small[a : b - 1])) + a)
+    m = len(starred)
+    ends = room(m)
+    for a, b in blocks(m):
+        ends[a:b] = np.append(starred[a + 1 : b], starred[b] if b < m else n - 1)
+    name = named_in_memory(text, small, starred, ends) if m <= IN_MEMORY else named_by_induction(text, small, starred, ends, run)
+    order, known = room(m), room(m)
+    if max(int(name[a:b].max()) for a, b in blocks(m)) == m - 1:
+        for a, b in blocks(m):
+            order[name[a:b]] = np.arange(a, b)
+    else:
+        order, names = sort_suffixes(name)
+        for a, b in blocks(m):
+            known[a:b] = starred[np.minimum(order[a:b] + names[a:b], m - 1)] - starred[order[a:b]]
+        known[0] = 0
+    seeds, seed_common = room(m), room(m)
+    for a, b in blocks(m):
+        seeds[a:b] = starred[order[a:b]]
+    for a, b in blocks(m):
+        first = max(a, 1)
+        seed_common[first:b] = extend(text, seeds[first - 1 : b - 1], seeds[first:b], known[first:b], cap)
+    return induced(text, small, seeds, seed_common, run, cap)
+
+
 def repeated_starts(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each segment the starts of strings of that length that also start elsewhere in any segment."""
     sizes = np.array([len(s) for s in segments], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     n = int((sizes + 1).sum()) + 1
     text = room(n, np.int32)
-    text[: n - 1] = np.frombuffer(b"\0".join([*segments, b""]), np.uint8)
-    text[: n - 1] += 2
-    text[begin + sizes] = 1
+    for at, part in zip(begin.tolist(), segments):
+        text[at : at + len(part)] = np.frombuffer(part, np.uint8)
+        text[at : at + len(part)] += 2
+        text[at + len(part)] = 1
     array, prefix = sort_suffixes(text, length)
-    hit = (prefix >= length) | np.append(prefix[1:] >= length, False)
-    found = np.sort(array[hit])
+    again = room(n, bool)
+    for a, b in blocks(n):
+        hit = (prefix[a:b] >= length) | (np.append(prefix[a + 1 : b], prefix[b] if b < n else 0) >= length)
+        again[array[a:b][hit]] = True
+    found = collected(n, lambda a, b: np.flatnonzero(again[a:b]) + a)
     owner = np.searchsorted(begin, found, "right") - 1
     inside = found - begin[owner]
     good = inside + length <= sizes[owner]
@@ -316,6 +453,16 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     return x[a], content, row[first], lo, hi, a
 
 
+def cores(text: bytes, at: int, length: int, width: int):
+    """(first start, last start, offset of the place from the core, core) of each narrow region of a region."""
+    last = len(text) - length
+    for j in range(max(0, at - last) // width, at // width + 1):
+        core = at - width * j
+        s1, s2 = max(0, core - width + 1), min(core, last)
+        if s1 <= s2:
+            yield s1, s2, j, text[core : core - width + 1 + length]
+
+
 def narrow_marks(rows: list[tuple], length: int) -> list[list[tuple[int, int]]]:
     """Repeated starts, as ranges within each region, of the distinct regions (group, text, offset of the designated place) of a shard.
 
@@ -325,12 +472,7 @@ def narrow_marks(rows: list[tuple], length: int) -> list[list[tuple[int, int]]]:
     pieces: dict[tuple, list[int]] = {}
     spans: list[list[tuple[int, int, int]]] = []
     for k, (group, text, at) in enumerate(rows):
-        last, mine = len(text) - length, []
-        for j in range(max(0, at - last) // NARROW, at // NARROW + 1):
-            core = at - NARROW * j
-            s1, s2 = max(0, core - NARROW + 1), min(core, last)
-            if s1 <= s2:
-                mine.append((s1, s2, hash((group, j, text[core : core - NARROW + 1 + length]))))
+        mine = [(s1, s2, hash((group, j, core))) for s1, s2, j, core in cores(text, at, length, NARROW)]
         for _, _, key in mine:
             pieces[key] = pieces.get(key, 0) + 1
         spans.append(mine[::-1])
@@ -384,35 +526,78 @@ def covered(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, g
     drop(every, many)
     # Of each content the number and one place; of each group how many contents.
     kinds = stored(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min("dk").alias("rk"), F.min_by("pk", "dk").alias("pk")), "regionkinds")
-    mixed = stored(kinds.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("mg")), "regionmixed")
+    mixed = stored(kinds.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select(F.col("g").alias("mg"), (F.col("m") > HOT).alias("hot")), "regionmixed")
     lo, wide, at = F.shiftright("pk", 24), F.shiftright("pk", 12).bitwiseAND(F.lit(4095)), F.col("pk").bitwiseAND(F.lit(4095))
-    sent = kinds.join(mixed.hint("merge"), kinds.g == mixed.mg, "left_semi").select("rk", F.struct("g", lo.alias("lo"), (lo + wide).alias("hi"), at.alias("at"), (F.col("n") > 1).alias("all")).alias("x"))
+    sent = kinds.join(mixed.hint("merge"), kinds.g == mixed.mg).select("rk", F.struct("g", "hot", lo.alias("lo"), (lo + wide).alias("hi"), at.alias("at"), (F.col("n") > 1).alias("all")).alias("x"))
     per = stored(sent.groupBy("rk").agg(F.collect_list("x").alias("xs")), "regionsent")
     once = rows.join(per.hint("merge"), rows.dk == per.rk).dropDuplicates(["dk"]).select("dk", "text", "xs")
-    texts = stored(once.mapInArrow(_cut(length), "g long, dk long, lo int, at int, whole boolean, part binary"), "regiontext")
+    cut = stored(once.mapInArrow(_cut(length), f"hot boolean, {_PART}"), "regiontext")
     drop(per, mixed)
+    texts, marked = cut.where("not hot").drop("hot"), []
+    if not (hot := cut.where("hot").drop("hot")).isEmpty():
+        for width in (NARROW, 1):
+            hot, few, equal = split(hot, length, width)
+            texts, marked = texts.unionByName(few), [*marked, equal]
     size = texts.agg(F.sum(F.length("part") + 1)).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     marks = stored(texts.repartitionById(shards, F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).mapInArrow(_sort(length), "dk long, a int, b int"), "regionmarks")
-    drop(texts)
+    drop(cut)
     often = kinds.where("n > 1").select(F.col("g").alias("og"), F.col("c").alias("oc"))
     whole = found.join(often.hint("merge"), (found.g == F.col("og")) & (found.c == F.col("oc")), "left_semi").select("dk", lo.cast("int").alias("a"), (lo + wide).cast("int").alias("b"))
+    for equal in marked:
+        whole = whole.unionByName(equal)
     spans = whole.unionByName(marks).groupBy("dk").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
     out = stored(spans, "regionspans")
     drop(found, kinds, marks)
     return out
 
 
+def split(regions: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The regions (g, dk, lo, at, whole, part) of hot groups as narrow ones: those of groups that are hot still, those of the others, and (dk, a, b) of what is equal.
+
+    A narrow region whose core no other has goes. Of equal ones the least stands for all.
+    """
+    every = stored(regions.mapInArrow(_narrow(length, width), f"c long, {_PART}"), "narrow")
+    order = F.struct("dk", "lo", "at", "whole")
+    kinds = stored(every.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(order).alias("x"), F.first("part").alias("part")), "narrowkinds")
+    sizes = kinds.groupBy(F.col("g").alias("sg")).agg(F.count("*").alias("m")).where("m > 1")
+    left = kinds.join(stored(sizes, "narrowsizes").hint("merge"), F.col("g") == F.col("sg")).select("g", "x.dk", "x.lo", "x.at", (F.col("x.whole") | (F.col("n") > 1)).alias("whole"), "part", "m")
+    often = stored(kinds.where("n > 1").select(F.col("g").alias("og"), F.col("c").alias("oc")), "narrowoften")
+    equal = every.where("not whole").join(often.hint("merge"), (F.col("g") == F.col("og")) & (F.col("c") == F.col("oc")), "left_semi")
+    equal = equal.select("dk", F.col("lo").alias("a"), (F.col("lo") + F.length("part") - length).alias("b"))
+    return left.where(F.col("m") > HOT).drop("m"), left.where(F.col("m") <= HOT).drop("m"), equal
+
+
+_PART = "g long, dk long, lo int, at int, whole boolean, part binary"
+
+
+def _narrow(length: int, width: int):
+    def run(batches):
+        for batch in chunks(batches, "part", CHUNK // 4):
+            out: list[list] = [[] for _ in range(7)]
+            for g, dk, lo, at, whole, part in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                for s1, s2, j, core in cores(part, at, length, width):
+                    text = part[s1 : s2 + length]
+                    group = xxhash.xxh64_intdigest(core, (g + j * 0x9E3779B97F4A7C15) % (1 << 64))
+                    for c, v in zip(out, (xxhash.xxh64_intdigest(text, (group + at - s1) % (1 << 64)), group, dk, lo + s1, at - s1, whole, text)):
+                        c.append(v)
+            signed = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in out[:2]]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*signed, *(pa.array(c, t) for c, t in zip(out[2:], kinds))], ["c", "g", "dk", "lo", "at", "whole", "part"])
+
+    return run
+
+
 def _cut(length: int):
     def run(batches):
         for batch in chunks(batches, most=CHUNK):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for dk, text, xs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = text.encode()
                 for x in xs:
-                    for c, v in zip(out, (x["g"], dk, x["lo"], x["at"], x["all"], raw[x["lo"] : x["hi"] + length])):
+                    for c, v in zip(out, (x["hot"], x["g"], dk, x["lo"], x["at"], x["all"], raw[x["lo"] : x["hi"] + length])):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["g", "dk", "lo", "at", "whole", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], ["hot", "g", "dk", "lo", "at", "whole", "part"])
 
     return run
 
@@ -434,7 +619,7 @@ def _sort(length: int):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, rest: bool = False) -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans, kept_sha256 of each row; rest: also the bytes that stay."""
+    """id_col, n_bytes, n_removed, n_spans, kept_sha256 of each row; rest: also the text that stays."""
     text = F.coalesce(text_col, F.lit(""))
     clean = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     spans = covered(clean, "id", "text", length, gram).select(F.col("dk").alias("sk"), "spans")
@@ -458,18 +643,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     end = max(end, b)
                 kept.append(raw[end:] if end >= 0 else raw)
                 left = b"".join(kept)
-                for c, v in zip(out, (len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), left)):
+                for c, v in zip(out, (len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if rest else None)):
                     c.append(v)
-            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            arrays = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(arrays if rest else arrays[:4])], names)
 
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["rest"] if rest else [])]
-    made = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", rest binary" if rest else ""))
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if rest else [])]
+    made = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text string" if rest else ""))
     return made.withColumnRenamed("id", id_col)
 
 
 def op6_suffix(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), rest=True)
 
 
 QUERIES = {"op6_suffix": op6_suffix}

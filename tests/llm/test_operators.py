@@ -417,12 +417,35 @@ def test_suffix_sorting():
 
 
 def test_suffix_sorting_from_files(monkeypatch):
-    monkeypatch.setattr(suffix, "IN_MEMORY", 50)
+    """A text of thirty times the entries that are allowed in memory: the order is the same, and the peak a small part."""
+    import tracemalloc
+
+    def sort(t):
+        tracemalloc.start()
+        out = suffix.sort_suffixes(t, 400)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, peak
+
     r = random.Random(4)
-    t = np.array([r.randint(1, 3) for _ in range(3000)] * 2 + [0], np.int64)
-    order, prefix = suffix.sort_suffixes(t, 400)
+    some = np.random.default_rng(4).integers(1, 4, 40_000)
+    t = np.concatenate([some, np.full(1000, 2), some[:20_000], [0]])
+    want, whole = sort(t)
     raw = bytes(t.tolist())
-    assert all(raw[a:] < raw[b:] for a, b in zip(order, order[1:])) and prefix.max() == 400
+    assert all(raw[a:] < raw[b:] for a, b in r.sample(list(zip(want[0].tolist(), want[0][1:].tolist())), 2000))
+    monkeypatch.setattr(suffix, "IN_MEMORY", 2000)
+    monkeypatch.setattr(suffix, "BLOCK", 1000)
+    held = suffix.room(len(t))
+    held[:] = t
+    got, peak = sort(held)
+    assert all((x == y).all() for x, y in zip(got, want)) and 5 * peak < whole and peak < 1_500_000
+
+
+@pytest.mark.parametrize("limit", [5, 40])
+def test_suffix_sorting_in_blocks(monkeypatch, limit):
+    monkeypatch.setattr(suffix, "IN_MEMORY", limit)
+    monkeypatch.setattr(suffix, "BLOCK", 3 if limit < 10 else 16)
+    test_suffix_sorting()
 
 
 def removed(rows, length=400):
@@ -449,6 +472,23 @@ def test_repeats_equal_brute_force(spark, make):
     assert sorted(tuple(x[1:]) for x in got.collect()) == sorted(removed(rows))
 
 
+@pytest.mark.parametrize("hot", [1, 6])
+def test_hot_groups_equal_brute_force(spark, make, monkeypatch, hot):
+    """Passages that many documents share, some just under and some over the length, in other surroundings."""
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 20_000)
+    r = random.Random(hot)
+    letters = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    passages = [letters(n) for n in (170, 340, 380, 395, 402, 430, 600)]
+    sides = [letters(30) for _ in range(6)]
+    rows = [letters(r.randrange(300)) + r.choice([*sides, ""]) + r.choice(passages) + r.choice([*sides, letters(9)]) + letters(r.randrange(300)) for _ in range(120)]
+    got = suffix.remove_repeats(make(rows), rest=True).orderBy("doc_id").collect()
+    want = removed(rows)
+    assert [tuple(x[1:5]) for x in got] == want and 20 < sum(w[1] > 0 for w in want) < 120
+    assert all(len(x["text"].encode()) <= x["n_bytes"] - x["n_removed"] for x in got)
+    assert all(x["text"] == t for x, t, w in zip(got, rows, want) if not w[1])
+
+
 def test_repeats_odd(spark, odd, none):
     got = suffix.remove_repeats(odd).collect()
     assert len(got) == odd.count() and suffix.remove_repeats(none).count() == 0
