@@ -60,8 +60,116 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}),
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 _WORDS = "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead sidebar widget aside cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies discussion pagination pager toolbar skip copyright legal disclaimer".split()
 _CLASS = re.compile(r"(?:^|[\s_\-])(?:" + "|".join(_WORDS) + r")(?:$|[\s_\-0-9])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
+_START = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?(?=[a-zA-Z]))")
+_TOKEN = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_NAME_END, _SPECIAL = re.compile(r"[\s/>]"), re.compile(r"[>\"']")
+_ATTR = re.compile(r"(?<![^\s=/\"'<>])([^\s=/\"'<>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))", re.S)
+
+
+class _Next:
+    """Where a pattern stands first from a place on; places only grow, so a page is read once."""
+
+    def __init__(self, pattern: re.Pattern, page: str):
+        self.pattern, self.page, self.asked, self.found = pattern, page, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if self.found < at:
+            m = self.pattern.search(self.page, at)
+            self.found = m.start() if m else len(self.page)
+        return self.found
+
+
+def tokens(page: str):
+    """(start, end, tag or None, whether it closes, attributes) of comments, declarations and tags, in linear time.
+
+    A tag ends at the first > outside of quotes; where there is none its < is text. ``send`` an end to go on from there.
+    """
+    size, at, after, match = len(page), 0, 0, _TOKEN.match
+    while (start := page.find("<", after)) >= 0:
+        if m := match(page, start):
+            if m[2]:
+                found = (start, m.end(), m[2].lower(), m[1] == "/", m[3])
+            elif m[0] in ("<!--", "<![CDATA["):
+                end = page.find("-->" if m[0] == "<!--" else "]]>", m.end())
+                found = (start, size if end < 0 else end + 3, None, False, "")
+            else:
+                found = (start, m.end(), None, False, "")
+            at = after = (yield found) or found[1]
+        elif _START.match(page, start):
+            break  # never closed: from here on with more care
+        else:
+            after = start + 1
+    else:
+        return
+    name_end, special, gt = _Next(_NAME_END, page), _Next(_SPECIAL, page), page.rfind(">")
+    outcome: dict[int, int] = {}
+
+    def end_of(q: int) -> int:
+        """The > that ends a tag whose attributes start at q, or -1."""
+        seen, r = [], special(q)
+        while True:
+            if r in outcome:
+                out = outcome[r]
+                break
+            seen.append(r)
+            if r >= size or page[r] == ">":
+                out = r if r < size else -1
+                break
+            close = page.find(page[r], r + 1)
+            if close < 0:
+                out = -1
+                break
+            m = _SPECIAL.search(page, close + 1)
+            r = m.start() if m else size
+        for r in seen:
+            outcome[r] = out
+        return out
+
+    while m := _START.search(page, at):
+        start, kind, at = m.start(), m[0], m.end()
+        if kind in ("<!--", "<![CDATA["):
+            end = page.find("-->" if kind == "<!--" else "]]>", at)
+            found = (start, size if end < 0 else end + 3, None, False, "")
+        elif kind in ("<!", "<?"):
+            if start > gt:
+                continue
+            found = (start, page.index(">", at) + 1, None, False, "")
+        else:
+            if start > gt:
+                continue
+            stop = name_end(at)
+            end = end_of(stop)
+            if end < 0:
+                continue
+            found = (start, end + 1, page[at:stop].lower(), kind == "</", page[stop:end])
+        at = (yield found) or found[1]
+
+
+class _Open:
+    """The elements that are open, and where the last of each tag, of blocks and of what isn't inline stand."""
+
+    def __init__(self, root):
+        self.stack, self.where, self.blocks, self.solid, self.lists = [root], {}, [], [], {}
+
+    def push(self, node) -> None:
+        tag = node.tag
+        kept = self.lists.get(tag)
+        if kept is None:
+            own = self.where[tag] = []
+            kept = self.lists[tag] = [own, *[self.blocks] * (tag in BLOCK), *[self.solid] * (tag not in INLINE)]
+        k = len(self.stack)
+        self.stack.append(node)
+        for places in kept:
+            places.append(k)
+
+    def cut(self, k: int) -> None:
+        """Close the element at k and all in it."""
+        while len(self.stack) > k:
+            for places in self.lists[self.stack.pop().tag]:
+                places.pop()
+
+    def last(self, tags) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
 
 
 class Node:
@@ -73,55 +181,49 @@ class Node:
 
 def parse(page: str) -> Node:
     root = Node("#root")
-    stack, at, size = [root], 0, len(page)
-    match = _TOKEN.search
-    while at < size:
-        m = match(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
+    held, at, size = _Open(root), 0, len(page)
+    found, jump = tokens(page), None
+    ends: dict[str, _Next] = {}
+    while True:
+        try:
+            start, end, tag, closes, attrs = found.send(jump)
+        except StopIteration:
             break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        jump = None
+        if start > at:
+            held.stack[-1].children.append(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k].tag in BLOCK:
-                    break
+        if closes:
+            places = held.where.get(tag)
+            k = places[-1] if places else 0
+            if k and not (tag in INLINE and held.blocks and held.blocks[-1] > k):
+                held.cut(k)
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag not in INLINE:
-                    break
+            if held.solid and held.stack[held.solid[-1]].tag == "p":
+                held.cut(held.solid[-1])
         elif tag in SIBLINGS:
-            ends, walls = SIBLINGS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in walls:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+            mates, walls = SIBLINGS[tag]
+            k = held.last(mates)
+            if k > held.last(walls):
+                held.cut(k)
+        node = Node(tag, attrs)
+        held.stack[-1].children.append(node)
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(page, at)
-            body = page[at : end.start()] if end else page[at:]
-            if body:
-                node.children.append(body)
-            at = end.end() if end else size
+            if tag not in ends:
+                ends[tag] = _Next(re.compile(rf"</{re.escape(tag)}\s*+/?>", re.I), page)
+            stop = ends[tag](at)
+            if stop > at:
+                node.children.append(page[at:stop])
+            at = jump = page.index(">", stop) + 1 if stop < size else size
             continue
-        stack.append(node)
+        held.push(node)
+    if at < size:
+        held.stack[-1].children.append(page[at:])
     return root
 
 
