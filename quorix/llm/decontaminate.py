@@ -2,7 +2,8 @@
 
 The test items are indexed in shards of bounded size; each shard's index (postings
 cut into blocks, each with its largest impact) goes to the executors, which pass
-over the corpus once for each shard. Words are lower-cased (A-Z) and lose
+over the corpus once for each shard. A shard has a bound on items, characters and
+words, so its block maxima are 100 MB at most. Words are lower-cased (A-Z) and lose
 punctuation at their ends. An item counts as held where a share ``overlap`` of its
 shingles is in a passage; then few of its words can be absent, so the passage's
 score is at least the item's score against itself less its so many largest
@@ -13,8 +14,10 @@ Passages are windows of twice the longest item, one item's length apart, so ever
 item that a text holds lies whole in some passage. All passages of a chunk are
 tried at once against the sums of their words' block maxima: where no block can
 reach the threshold, no pivot exists and the passage is done. The rest go through
-block-max WAND with cursors, and what reaches the threshold is verified by the
-share of the item's five-word shingles (question, answer, and both) in the passage.
+block-max WAND with cursors, and what reaches the threshold is verified: the share of
+the five-word shingles has to be ``overlap`` for the question, for the answer, and for
+both together. A passage with the question and no answer, or another one, is no leak,
+nor is an answer alone; an item without an answer counts by its question.
 
 Defined results: null or empty texts and texts without words match nothing; an
 item without words is never found; a repeated item is found under each id; repeated
@@ -33,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quorix import ship
-from quorix.llm.common import LOWER_TABLE, Spans, chunks, table, texts_of, words_of
+from quorix.llm.common import LOWER_TABLE, chunks, table, texts_of, word_hashes, words_of
 
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b".,;:!?\"'()[]")] = True
-#: Test items of a shard, and characters of their text: with postings a few hundred MB at most.
-SHARD_ITEMS, SHARD_CHARS = 20_000, 32_000_000
+#: Test items of a shard, characters of their text, and words: as many distinct ones have 100 MB of block maxima.
+SHARD_ITEMS, SHARD_CHARS, SHARD_WORDS = 20_000, 32_000_000, 200_000
 BLOCKS = 128
 
 
@@ -59,7 +62,7 @@ def normal_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     keep = ends > starts
     starts, ends, row = starts[keep], ends[keep], row[keep]
     n = np.bincount(row, minlength=len(offsets) - 1)
-    return Spans(data).hash(starts, ends), row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return word_hashes(data, starts, ends), row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
 def shingles(words: np.ndarray, width: int) -> set[bytes]:
@@ -214,7 +217,7 @@ def matches(index: Index, data: np.ndarray, offsets: np.ndarray, overlap: float,
         for item, score in index.search(terms):
             seen = shingles(words, width) if seen is None else seen
             question, answer, both = (share(p, seen) if p and len(next(iter(p))) == 8 * width else share_short(p, words) for p in index.shingles[item])
-            if both >= overlap:
+            if min(both, question, answer) >= overlap:
                 yield row, item, (both, score, question, answer)
 
 
@@ -225,7 +228,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str, answer_col: str | N
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None, overlap: float = 0.8, width: int = 5) -> DataFrame:
     """(id_col, item_id, score, question_overlap, answer_overlap): each row of docs with each item that it holds.
 
-    Kept where a share ``overlap`` of the item's shingles of ``width`` words is in one passage.
+    Kept where a share ``overlap`` of the shingles of ``width`` words of question, answer and both is in one passage.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
@@ -264,13 +267,14 @@ def share_short(part: set[bytes], words: np.ndarray) -> float:
 
 def _shards(items: DataFrame):
     """Lists of test items, each of bounded size, one after the other on the driver."""
-    shard, chars = [], 0
+    shard, chars, words = [], 0, 0
     for r in items.orderBy("id", "q").toLocalIterator():
-        if shard and (len(shard) >= SHARD_ITEMS or chars >= SHARD_CHARS):
+        n = len(r["q"].split()) + len((r["a"] or "").split())
+        if shard and (len(shard) >= SHARD_ITEMS or chars >= SHARD_CHARS or words + n > SHARD_WORDS):
             yield shard
-            shard, chars = [], 0
+            shard, chars, words = [], 0, 0
         shard.append((r["id"], r["q"], r["a"]))
-        chars += len(r["q"]) + len(r["a"] or "")
+        chars, words = chars + len(r["q"]) + len(r["a"] or ""), words + n
     if shard:
         yield shard
 
