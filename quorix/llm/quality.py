@@ -10,7 +10,7 @@ Learning takes at most ``most_rows`` labelled rows, those of least hash of the i
 the statistics cover every whole text.
 
 Defined results: null and empty texts have no words and fail the base rules; rows
-that are equal are judged alike; several labels of an id count as their least; no
+that are equal are judged alike; several labels of an id count as their least, and the least of its texts is learned from; no
 labels, or of one class only, give an empty list, which keeps; extra columns don't
 matter; an empty table gives no rows.
 """
@@ -168,11 +168,13 @@ def learn(rows: list[Row], names: list[str], least: float = 0.9, most_rules: int
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_rows: int = ROWS) -> list[list[Condition]]:
     """Rules from at most ``most_rows`` rows of docs (doc_id, text) that labels (doc_id, label_col) mark 0 or 1."""
     marked = labels.groupBy("doc_id").agg(F.min(label_col).cast("int").alias("y")).where("y is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    found = statistics(docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id", F.col("y").alias("_y"))), "doc_id").select(F.struct("doc_id", "_y").alias("doc_id"), "text"))
+    # One text for each id, so no more rows than labels come to the driver.
+    one = docs.select("doc_id", "text").join(F.broadcast(marked.select("doc_id", F.col("y").alias("_y"))), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y"))
+    found = statistics(one.select(F.struct("doc_id", "_y").alias("doc_id"), "text"))
     names = list(features())
     # A filter on these columns would be pushed below the array steps and be evaluated for each element: rows are few, so it waits.
     got = found.select(base_failed().alias("failed"), F.col("doc_id.doc_id").alias("id"), F.col("doc_id._y").alias("y"), *[c.cast("double").alias(k) for k, c in features().items()]).collect()
-    got = sorted((r for r in got if not r["failed"]), key=lambda r: (str(r["id"]), *[r[k] for k in names]))[: 2 * most_rows]
+    got = sorted((r for r in got if not r["failed"]), key=lambda r: (str(r["id"]), *[r[k] for k in names]))
     return learn([({k: r[k] for k in names}, r["y"]) for r in got], names)
 
 

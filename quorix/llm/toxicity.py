@@ -14,7 +14,7 @@ id, of at most ``most_bytes`` bytes each; scoring takes every whole text.
 
 Defined results: a null or empty text, or one without words, has one empty
 window, so the score is that of the bias alone; several labels of an id count as
-their largest; no usable labels (one class only) score 0 everywhere; repeated
+their largest, of several texts of an id the least is learned from; a null id is not held out; no usable labels (one class only) score 0 everywhere; repeated
 rows have equal scores; an empty table gives no rows.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorix import ship
-from quorix.llm.common import CHUNK, LOWER_TABLE, Spans, chunks, id_mod, table, texts_of, words_of
+from quorix.llm.common import CHUNK, LOWER_TABLE, Spans, chunks, id_mod, table, texts_of, word_hashes, words_of
 
 #: Words of half a window; windows overlap by that much.
 HALF = 1
@@ -78,7 +78,7 @@ def bags(data: np.ndarray, offsets: np.ndarray, buckets: int):
     """Distinct words with their features, the distinct word at each place, and the row of each place."""
     data = LOWER_TABLE[data]
     starts, ends, row = words_of(data, offsets)
-    _, first, word = np.unique(Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
+    _, first, word = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
     feature, at = features(data, starts[first], ends[first], buckets)
     return feature, at, word, row
 
@@ -93,7 +93,7 @@ def bags_of(texts: list[str], buckets: int, most: int = 1 << 20):
             continue
         data = LOWER_TABLE[np.frombuffer(b"".join(held), np.uint8)]
         starts, ends, row = words_of(data, np.append(0, np.cumsum([len(b) for b in held])).astype(np.int64))
-        hashes, first, inverse = np.unique(Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
+        hashes, first, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         new = np.array([k for k, h in enumerate(hashes.tolist()) if h not in known], np.int64)
         for h in hashes[new].tolist():
             known[h] = len(known)
@@ -214,8 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", most_rows:
     marked = labels.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y")).where("y is not null")
     short = docs.select("doc_id", "text").where((F.octet_length("text") > 0) & (F.octet_length("text") <= most_bytes))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = short.join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])[: 2 * most_rows]
+    # One text for each id, so no more rows than labels come to the driver.
+    rows = short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 
 
@@ -254,7 +255,7 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(id_mod("doc_id", 4) != 2)
     out = score(docs, fit(docs, labels))
-    return out.select("doc_id", (id_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(id_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}
