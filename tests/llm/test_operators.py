@@ -240,6 +240,55 @@ def test_search_equals_scoring_of_all():
         assert {i for i, _ in index.search(terms)} == want and seed in want
 
 
+def held_items(texts_, items, width=5, overlap=0.8):
+    """(text, item) by plain sets over windows of all starts: question, answer and both."""
+    edge = ".,;:!?\"'()[]"
+    norm = lambda t: [x for w in WORD.findall((t or "").translate(LOWER)) if (x := w.strip(edge))]
+    pieces = lambda w: {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+    split = {i: decontaminate.split_item(t or "") if a is None else (t or "", a) for i, (t, a) in items.items()}
+    longest = max(1, *(len(norm(q + "\n" + a)) for q, a in split.values()))
+    out = set()
+    for d, t in texts_.items():
+        words = norm(t)
+        for i, (q, a) in split.items():
+            qw, aw = norm(q), norm(a)
+            if not qw and not aw:
+                continue
+            for at in range(0, max(1, len(words)), longest):
+                here = words[at : at + 2 * longest]
+                share = lambda w: len(pieces(w) & {tuple(here[k : k + min(width, len(w))]) for k in range(len(here) - min(width, len(w)) + 1)}) / len(pieces(w)) if w else 1  # noqa: B023, E731
+                if min(share(qw), share(aw), share(qw + aw)) >= overlap:
+                    out.add((d, i))
+    return out
+
+
+def test_question_and_answer_both_decide(spark, make):
+    q, a = " ".join(random_words(14, 1, 9999)), " ".join(random_words(7, 2, 9999))
+    other = " ".join(random_words(7, 3, 9999))
+    r = random.Random(5)
+    items = {1: (q + "?", a), 2: (" ".join(random_words(20, 7, 9999)), ""), 3: (" ".join(random_words(12, 8, 9999)) + ". " + " ".join(random_words(6, 9, 9999)), None), 4: ("yes", "no")}
+    noise = lambda n: " ".join(random_words(n, r.randrange(10**6), 9999))
+    texts_ = [f"{noise(30)} {q} {a} {noise(20)}", f"{noise(30)} {q} {noise(40)}", f"{noise(10)} {q} {other}", f"{noise(10)} {a} {noise(30)}", items[2][0].upper(), f"{noise(3)} {items[3][0]}!", "yes no", "no", f"{noise(60)} {q}, {noise(1)} {a}", "", None]
+    words = items[2][0].split()
+    for k in range(1, 6):
+        texts_.append(" ".join([*words[:-k], *random_words(k, 50 + k, 9999)]))
+        texts_.append(f"{noise(9)} " + " ".join([*q.split()[k:], a]))
+    bench = spark.createDataFrame([(i, t, x) for i, (t, x) in items.items() if x is not None], "item_id long, text string, answer string")
+    docs = make(texts_)
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, bench, answer_col="answer").collect()}
+    want = held_items(dict(enumerate(texts_)), {i: x for i, x in items.items() if x[1] is not None})
+    assert got == want and {(0, 1), (4, 2), (6, 4)} <= got and not {(1, 1), (2, 1), (3, 1), (7, 4)} & got
+    one = spark.createDataFrame([(3, items[3][0])], "item_id long, text string")
+    assert [(x["doc_id"], x["item_id"]) for x in decontaminate.find(docs, one).collect()] == [(5, 3)]
+
+
+def test_leaks_equal_brute_force(spark, data):
+    docs = texts(spark, data)
+    items = {x["item_id"]: (x["text"], None) for x in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    want = held_items(dict(zip(docs.doc_id, docs.text)), items)
+    assert want and {(r["doc_id"], r["item_id"]) for r in decontaminate.op4_decontaminate(spark, data).collect()} == want
+
+
 def test_leaks_odd(spark, odd, none, make):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten. the answer is eleven"), (2, None), (3, ""), (4, "tiny")], "item_id long, text string")
     docs = make(["x y One, two three four five six seven eight nine ten. The answer is eleven!", "unrelated", None, "so tiny it is"], "score item_id")
@@ -531,6 +580,35 @@ def test_blocks_in_articles_and_copies_of_pages(spark):
     assert all("The whole story" in got[k + i] and "Its second part" in got[k + i] for k in (10, 20) for i in range(4))
 
 
+@pytest.mark.parametrize("bad", ["<a ", "<a", "<div>", "<a \"", "<!", "<!--", "<b><div>", "</x>", "<div></x>", "a" * 50, "<p x", "<i></b>", "<td>", "&amp;", "<a b=c ", "<script>", "<div class='a"])
+def test_broken_pages_of_a_megabyte(bad):
+    import time
+
+    start = time.time()
+    html._extract("http://x.example", "<div><li>" + bad * (1_000_000 // len(bad)) + "><p>end</p>", frozenset())
+    assert time.time() - start < 12
+
+
+def test_odd_pages(spark):
+    """Repeated rows, clashing columns, and tags that the scanner meets."""
+    rows = [(i, "u", "<p>same</p>") for i in (1, 1, 2)] + [(3, "u", "<P CLASS='a>b'>x<BR/>y</P ><a href=\"q'>z\">w</a> 1 < 2 <3 </p>& <![CDATA[no]]><!-- no --><?php no ?>v<")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for name in "id key host kind rest h n _quorix page title rows".split():
+        pages = pages.withColumn(name, F.lit("x")) if name not in ("html",) else pages
+    for how in (html.BROADCAST, -1):
+        got = html.extract(pages, broadcast=how)
+        assert set(pages.columns) - {"html"} | {"text"} == set(got.columns)
+        assert sorted((r["page_id"], r["text"]) for r in got.collect()) == [(1, "same"), (1, "same"), (2, "same"), (3, "x y\nw 1 < 2 <3 & v<")]
+
+
+def test_template_changes_pages_without_article(spark):
+    rows = [(i, "http://s.example/", f"<div><span>Top of the site</span><p>Story {i} " + f"w{i} " * 30 + f"</p><div>All about us</div></div>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    off = {r["page_id"]: r["text"] for r in html.extract(pages, least=10**6).collect()}
+    on = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert all("Top of the site" in off[i] and "All about us" in off[i] and on[i] == (f"Story {i} " + f"w{i} " * 30).strip() for i in range(8))
+
+
 def test_pages_of_the_table(spark, data):
     got = html.op7_html(spark, data).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) > 0 and "©" not in r["text"] for r in got)
