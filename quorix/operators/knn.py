@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quorix import ship
+from quorix.sources.shared import stored
 
 K = 5
 #: Queries that go to all executors at once: with 64 dimensions, 10 MB.
 QUERY_BLOCK = 20_000
 FAR = 9_223_372_036_854_775_807
+#: Vectors, and queries, that one task of an indexed search compares: with 64 dimensions, 17 MB each.
+BLOCK = 32_768
 
 
 def squared_distance(a: Column, b: Column, width: int) -> Column:
@@ -41,10 +44,16 @@ def vectors_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, distance) of the k nearest rows of each query, ties by id; exact: all numbers are whole and under 2**53."""
+def nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest rows of each query, ties by id; exact: all numbers are whole and under 2**53.
+
+    With bound, only rows at most that far count.
+    """
     d = np.einsum("ij,ij->i", queries, queries)[:, None] + np.einsum("ij,ij->i", rows, rows)[None] - 2 * (queries @ rows.T)
-    worst = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+    if bound is not None:
+        worst = bound
+    else:
+        worst = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
     q, r = np.nonzero(d <= worst[:, None])
     order = np.lexsort((ids[r], d[q, r], q))
     q, r = q[order], r[order]
@@ -253,19 +262,54 @@ def probes(queries: DataFrame, clusters: DataFrame, nprobe: int, k: int, width:
     return centroid_rows(queries, clusters, width).withColumn("probe", F.row_number().over(w)).where(F.col("probe") <= clamp_probes(nprobe, k)).select("qid", "q", "cluster_id", "cd", "probe")
 
 
-def scan(pairs: DataFrame, vectors: DataFrame, width: int) -> DataFrame:
-    """(qid, orig_id, label, d) for all vectors of the clusters of (qid, q, cluster_id)."""
-    v = vectors.select(F.col("cluster_id").alias("_c"), "orig_id", F.col("q").alias("_v"), "label")
-    return pairs.join(v, pairs.cluster_id == F.col("_c")).select("qid", "orig_id", "label", squared_distance(F.col("q"), F.col("_v"), width).alias("d"))
+def scan(pairs: DataFrame, vectors: DataFrame, clusters: DataFrame, k: int = K) -> DataFrame:
+    """(qid, orig_id, label, d): for each (qid, q, cluster_id, w0), the k nearest vectors of each block of the cluster, none farther off than w0.
+
+    Vectors and queries of a cluster are cut by hash of their ids into blocks of bounded
+    size, and a task compares two blocks, so a cluster of any size is spread over tasks and
+    what is shuffled afterwards is k rows a query and block. Nothing is broadcast but a row a cluster.
+    """
+    ship(vectors.sparkSession)
+    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+    asked = pairs.groupBy("cluster_id").agg(F.count("*").alias("_m"))
+    grid = F.broadcast(clusters.join(asked, "cluster_id").select("cluster_id", cut("n").alias("_nv"), cut("_m").alias("_nq")))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = vectors.select("cluster_id", "orig_id", "q", F.col("label").cast("int").alias("label")).join(grid, "cluster_id").withColumn("_v", block("orig_id", "_nv")).withColumn("_q", each("_nq")).select("cluster_id", "_v", "_q", "orig_id", "q", "label")
+    p = pairs.join(grid, "cluster_id").withColumn("_q", block("qid", "_nq")).withColumn("_v", each("_nv")).select("cluster_id", "_v", "_q", "qid", "q", "w0")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if left.num_rows and right.num_rows:
+            (rows,), (asks,) = (t.combine_chunks().to_batches() for t in (left, right))
+            refs, q = vectors_of(rows, "q"), vectors_of(asks, "q")
+            ids, labels, qids, w0 = (b.column(n).to_numpy(zero_copy_only=False) for b, n in ((rows, "orig_id"), (rows, "label"), (asks, "qid"), (asks, "w0")))
+            step = max(1, 2_000_000 // len(refs))
+            for known in (False, True):
+                some = np.flatnonzero((w0 < FAR) == known)
+                for a in range(0, len(some), step):
+                    at = some[a : a + step]
+                    i, r, d = nearest(q[at], refs, ids, k, w0[at] if known else None)
+                    parts.append((qids[at[i]], ids[r], labels[r], d))
+        none = np.zeros(0, np.int64)
+        out = [np.concatenate([none, *x]) for x in zip(*parts)] or [none] * 4
+        return pa.table({n: pa.array(x.astype(t)) for n, x, t in zip(("qid", "orig_id", "label", "d"), out, (np.int64, np.int64, np.int32, np.int64))})
+
+    key = ("cluster_id", "_v", "_q")
+    return v.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(run, "qid long, orig_id long, label int, d long")
+
+
+def seeds(probed: DataFrame, vectors: DataFrame, clusters: DataFrame, k: int = K) -> DataFrame:
+    return ranked(scan(probed.withColumn("w0", F.lit(FAR)), vectors, clusters, k), k)
 
 
 def repair(queries: DataFrame, clusters: DataFrame, seed: DataFrame, probed: DataFrame, k: int, width: int) -> DataFrame:
-    """(qid, q, cluster_id, lb): clusters not scanned yet whose boxes may hold a neighbour."""
+    """(qid, q, cluster_id, lb, w0): clusters not scanned yet whose boxes may hold a neighbour, and the k-th distance so far."""
     worst = seed.where(F.col("rank") == k).select("qid", F.col("d").alias("w0"))
     boxes = F.broadcast(clusters.where("n > 0").select("cluster_id", "lo", "hi"))
-    near = queries.select("qid", "q").join(worst, "qid", "left").join(boxes).select("qid", "q", "cluster_id", "w0", box_bound(F.col("q"), F.col("lo"), F.col("hi"), width).alias("lb"))
-    near = near.where(F.col("lb") <= F.coalesce("w0", F.lit(FAR)))
-    return near.join(probed.select("qid", "cluster_id"), ["qid", "cluster_id"], "left_anti").select("qid", "q", "cluster_id", "lb")
+    near = queries.select("qid", "q").join(worst, "qid", "left").join(boxes).select("qid", "q", "cluster_id", F.coalesce("w0", F.lit(FAR)).alias("w0"), box_bound(F.col("q"), F.col("lo"), F.col("hi"), width).alias("lb"))
+    near = near.where(F.col("lb") <= F.col("w0"))
+    return near.join(probed.select("qid", "cluster_id"), ["qid", "cluster_id"], "left_anti").select("qid", "q", "cluster_id", "lb", "w0")
 
 
 def search(queries: DataFrame, vectors: DataFrame, clusters: DataFrame, nprobe: int, k_clusters: int, width: int, k: int = K) -> tuple[DataFrame, DataFrame]:
@@ -273,11 +317,13 @@ def search(queries: DataFrame, vectors: DataFrame, clusters: DataFrame, nprobe:
 
     The nearest clusters give a threshold; any cluster whose box isn't farther off
     than it is scanned too, ties included, so the result is that of brute force.
+    vectors and clusters are read several times: have them stored.
     """
-    probed = probes(queries, clusters, nprobe, k_clusters, width)
-    seed = ranked(scan(probed, vectors, width), k)
-    more = repair(queries, clusters, seed, probed, k, width)
-    found = ranked(seed.select("qid", "orig_id", "label", "d").unionByName(scan(more, vectors, width)), k)
+    queries = stored(queries.select("qid", "q"), "queries")
+    probed = stored(probes(queries, clusters, nprobe, k_clusters, width), "probed")
+    seed = stored(seeds(probed, vectors, clusters, k), "seed")
+    more = stored(repair(queries, clusters, seed, probed, k, width), "repair")
+    found = ranked(seed.select("qid", "orig_id", "label", "d").unionByName(scan(more, vectors, clusters, k)), k)
     return found, probed.select("qid", "cluster_id").unionByName(more.select("qid", "cluster_id"))
 
 

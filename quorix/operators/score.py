@@ -11,6 +11,7 @@ from quorix.functions import features as feature
 from quorix.functions.scalar import SCALE, quantize
 from quorix.operators import knn
 from quorix.sources import readers
+from quorix.sources.shared import stored
 
 MAX_BODY = 32_768
 
@@ -52,23 +53,33 @@ def vectors(payloads: DataFrame, risks: DataFrame, key: str, keep: list[str] = (
     return quantized(feature.features(payloads.where(feature.is_valid()), risks, [key, *keep]), [key, *keep])
 
 
-def score(payloads: DataFrame, refs: DataFrame, risks: DataFrame, key: str = "tx_id", options: Options = Options()) -> DataFrame:
-    """(key, frauds, fraud_score, approved, body) of valid payloads, by brute force over refs (orig_id, q, label)."""
+def score(payloads: DataFrame, refs: DataFrame, risks: DataFrame, key: str = "tx_id", options: Options | None = None, clusters: DataFrame | None = None) -> DataFrame:
+    """(key, frauds, fraud_score, approved, body) of valid payloads, by brute force over refs (orig_id, q, label).
+
+    With clusters, refs are the vectors of an index (orig_id, q, label, cluster_id), and the
+    same neighbours come from a search of it. Options are those of the session unless given.
+    """
+    options = options or Options.of(payloads.sparkSession)
     queries = vectors(payloads, risks, key).withColumnRenamed(key, "qid")
-    votes = knn.vote(queries, knn.brute_force(refs, queries, options.k), options.k)
+    if clusters is None:
+        found = knn.brute_force(refs, queries, options.k)
+    else:
+        queries = stored(queries, "queries")
+        found, _ = knn.search(queries, refs, clusters, options.nprobe, clusters.count(), len(feature.NAMES), options.k)
+    votes = knn.vote(queries, found, options.k)
     return votes.withColumn("body", knn.body()).withColumnRenamed("qid", key)
 
 
-def score_bodies(bodies: DataFrame, refs: DataFrame, risks: DataFrame, key: str = "tx_id", options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+def score_bodies(bodies: DataFrame, refs: DataFrame, risks: DataFrame, key: str = "tx_id", options: Options | None = None, clusters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scores of the bodies (key, body) that are valid, and the rest as (key, body, status)."""
     parsed = readers.parse_payloads(bodies)
     good = feature.is_valid() & (F.octet_length("body") <= MAX_BODY)
     bad = parsed.where(~F.coalesce(good, F.lit(False))).select(key, "body", F.when(F.octet_length("body") > MAX_BODY, 413).otherwise(400).alias("status"))
-    return score(parsed.where(good), refs, risks, key, options), bad
+    return score(parsed.where(good), refs, risks, key, options, clusters), bad
 
 
 def build_index(refs: DataFrame, width: int, options: Options) -> tuple[DataFrame, DataFrame]:
-    """(vectors, clusters) of refs (orig_id, q, label)."""
+    """(vectors, clusters) of refs (orig_id, q, label), stored in the shared folder."""
     centroids = knn.train(refs, options.clusters, width, options.sample, options.iterations)
-    assigned = knn.assign(refs, centroids)
-    return assigned, knn.clusters_of(assigned, centroids, width)
+    assigned = stored(knn.assign(refs, centroids), "vectors")
+    return assigned, stored(knn.clusters_of(assigned, centroids, width), "clusters")

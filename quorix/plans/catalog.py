@@ -10,6 +10,7 @@ from quorix.functions import scalar
 from quorix.operators import evaluate, knn, score
 from quorix.plans.oracle import ORACLE, ROUNDS, SAMPLE, D, K
 from quorix.sources import fixture, readers
+from quorix.sources.shared import scratch, stored
 from quorix.streaming import scoring
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -47,22 +48,16 @@ def _split(spark, d) -> tuple[DataFrame, DataFrame]:
     return refs.select("orig_id", "q", F.col("fraud").alias("label")), rows.where("tx_id % 20 = 0").select(F.col("tx_id").alias("qid"), "q")
 
 
-_trained: dict = {}
-
-
-def _centroids(refs: DataFrame, d: str, rounds: int = ROUNDS) -> list[list[float]]:
-    key = (refs.sparkSession.sparkContext.applicationId, d, rounds)
-    if key not in _trained:
-        _trained[key] = knn.train(refs, K, D, SAMPLE, rounds)
-    return _trained[key]
+def _centroids(refs: DataFrame, rounds: int = ROUNDS) -> list[list[float]]:
+    return knn.train(refs, K, D, SAMPLE, rounds)
 
 
 def _index(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     refs, queries = _split(spark, d)
-    centroids = _centroids(refs, d)
+    refs = stored(refs, "references")
     # Boxes, seeds and repairs all read the vectors; an index in use reads them from its tables.
-    vectors = knn.assign(refs, centroids).persist()
-    return queries, vectors, knn.clusters_of(vectors, centroids, D)
+    vectors, clusters = score.build_index(refs, D, score.Options(clusters=K, sample=SAMPLE, iterations=ROUNDS))
+    return queries, vectors, clusters
 
 
 def _centroid_rows(spark, centroids) -> DataFrame:
@@ -209,12 +204,12 @@ def kmeans_init(spark, d):
 
 @query
 def kmeans_step(spark, d):
-    return _centroid_rows(spark, _centroids(_split(spark, d)[0], d, 1))
+    return _centroid_rows(spark, _centroids(_split(spark, d)[0], 1))
 
 
 @query
 def kmeans_train(spark, d):
-    return _centroid_rows(spark, _centroids(_split(spark, d)[0], d))
+    return _centroid_rows(spark, _centroids(_split(spark, d)[0]))
 
 
 @query
@@ -271,7 +266,7 @@ def bbox_lower_bound(spark, d):
 def repair_candidates(spark, d):
     queries, vectors, clusters = _index(spark, d)
     probed = knn.probes(queries, clusters, 1, K, D)
-    return knn.repair(queries, clusters, knn.ranked(knn.scan(probed, vectors, D)), probed, knn.K, D).select("qid", "cluster_id", "lb")
+    return knn.repair(queries, clusters, knn.seeds(probed, vectors, clusters), probed, knn.K, D).select("qid", "cluster_id", "lb")
 
 
 @query
@@ -333,22 +328,13 @@ def readiness(spark, d):
     return evaluate.readiness(vectors, clusters)
 
 
-def _folder(spark, name: str) -> str:
-    """A folder that executors see too: under the checkpoint folder if the session names one."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base}/quorix-{name}-{uuid.uuid4().hex}"
-
-
 @query
 def references_json_scan(spark, d):
     """References written as one JSON array and read again."""
     rows = fixture.table(spark, d, "embeddings").orderBy("vec_id").coalesce(1)
     item = F.to_json(F.struct(F.slice("embedding", 1, 10).alias("vector"), F.when(F.col("label") < 3, "fraud").otherwise("legit").alias("label")))
     lines = F.concat(F.when(F.col("vec_id") == rows.agg(F.min("vec_id")).first()[0], "[").otherwise(","), item)
-    path = _folder(spark, "references")
+    path = scratch(spark, "references")
     rows.select(lines.alias("value")).unionByName(spark.createDataFrame([("]",)], "value string")).coalesce(1).write.option("compression", "gzip").text(path)
     return readers.read_references(spark, path)
 
@@ -356,7 +342,7 @@ def references_json_scan(spark, d):
 @query
 def index_roundtrip(spark, d):
     refs, _ = _split(spark, d)
-    path = _folder(spark, "index")
+    path = scratch(spark, "index")
     vectors, clusters = score.build_index(refs, D, score.Options(clusters=K, sample=SAMPLE, iterations=ROUNDS))
     readers.write_index(vectors, clusters, path, K, D)
     found, _, _ = readers.read_index(spark, path, K, D)
@@ -366,7 +352,7 @@ def index_roundtrip(spark, d):
 @query
 def stream_score(spark, d):
     refs, _ = _split(spark, d)
-    path = _folder(spark, "stream")
+    path = scratch(spark, "stream")
     _spoiled(spark, d).where("tx_id % 20 = 0").write.parquet(f"{path}/in")
     scoring.start(scoring.read_bodies(spark, f"{path}/in"), refs, _risks(spark), f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out/scores").select("tx_id", "frauds", "fraud_score", "approved", "body")

@@ -15,7 +15,7 @@ def read_bodies(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return spark.readStream.schema(BODIES).format(fmt).load(path)
 
 
-def start(bodies: DataFrame, refs: DataFrame, risks: DataFrame, out: str, checkpoint: str, options: score.Options = score.Options(), once: bool = True) -> StreamingQuery:
+def start(bodies: DataFrame, refs: DataFrame, risks: DataFrame, out: str, checkpoint: str, options: score.Options | None = None, once: bool = True) -> StreamingQuery:
     """Scores go to out/scores, bad records to out/rejected; a batch that runs again replaces its own files.
 
     refs and risks are static; each batch of bodies is one set of queries against all

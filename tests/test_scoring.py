@@ -212,3 +212,29 @@ def test_observed_counters(spark):
 
     rows = scoring.counters(bodies(spark, LEGIT, None), "seen")
     assert rows.count() == 2
+
+
+def test_search_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 100)
+    refs = synthetic(spark, 4)
+    vectors, clusters = score.build_index(refs, 14, score.Options(clusters=3, iterations=2, sample=256))
+    asked = refs.select(F.col("orig_id").alias("qid"), "q")
+    found, _ = knn.search(asked, vectors, clusters, 1, 3, 14)
+    assert ids(found) == ids(knn.brute_force(refs, asked))
+
+
+def test_scores_by_index_equal_brute_force(spark, data):
+    from quorix.plans import catalog
+    from quorix.sources import fixture
+
+    refs, _ = catalog._split(spark, data)
+    vectors, clusters = score.build_index(refs, 14, score.Options(clusters=8, iterations=2, sample=256))
+    payloads, risks = fixture.transactions(spark, data).where("tx_id % 20 = 0"), readers.default_risks(spark)
+    by_index, by_all = (score.score(payloads, r, risks, clusters=c).collect() for r, c in ((vectors, clusters), (refs, None)))
+    assert by_all and sorted(by_index) == sorted(by_all)
+
+
+def test_folders_take_the_scheme_of_the_file_system(spark, tmp_path):
+    from quorix.sources.shared import qualified
+
+    assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
