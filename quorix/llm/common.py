@@ -7,11 +7,6 @@ they may clash with nothing; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorix import ship
+from quorix.sources.shared import scratch
 
 #: Space, and tab to carriage return.
 SPACE = np.zeros(256, bool)
@@ -31,19 +27,6 @@ LOWER_TABLE = np.frombuffer(LOWER, np.uint8)
 CHUNK = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = got.get() if got.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quorix-")
-        atexit.register(shutil.rmtree, found[7:], True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found if "://" in found else "file://" + os.path.abspath(found)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of at most some MB, where the session has not set a size of its own: rows here are whole texts."""
     ship(spark)
@@ -52,10 +35,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/quorix-{tag}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """The same rows, read from a table in the shared folder: the lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession

@@ -747,6 +747,15 @@ def test_toxicity(spark):
     assert np.mean([chance(t) >= 0.3 for t in misspelt]) > 0.7
 
 
+def test_toxicity_on_held_out_rows(spark, data):
+    """Labelled rows that nothing was learned or chosen from."""
+    folder = data.replace("sf0.001", "sf0.1")
+    out = toxicity.op10_toxicity(spark, folder).where("held_out")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    n = {(r["y"], r["predicted"]): r["count"] for r in out.join(labels, "doc_id").groupBy("y", "predicted").count().collect()}
+    assert n[1, 1] > 0.75 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) < 0.02 * n[0, 0]
+
+
 def test_toxicity_odd(spark, data, odd, none):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels = spark.read.parquet(f"{data}/labels.parquet")
