@@ -11,8 +11,8 @@ that a score of 0.3 is the cut that told those rows apart best.
 
 Training takes at most ``most_rows`` labelled rows, those of least hash of the
 id, of at most ``most_bytes`` bytes each; scoring takes every whole text. Window,
-number of windows, rounds and buckets are those of highest mean F1 in four-fold
-cross-validation on rows outside the held-out remainder.
+number of windows, rounds and buckets come from four-fold cross-validation on rows
+outside the held-out remainder.
 
 Defined results: a null or empty text, or one without words, has one empty
 window, so the score is that of the bias alone; several labels of an id count as
@@ -149,7 +149,7 @@ def pooled(z: np.ndarray, owner: np.ndarray, rows: int, empty: float) -> tuple[n
     return out, np.concatenate(found)
 
 
-def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 << 18, epochs: int = 80, seed: int = 11) -> Model | None:
+def train(texts: list[str], toxic: list[int], dim: int = 8, buckets: int = 1 << 16, epochs: int = 120, seed: int = 11) -> Model | None:
     y = np.array(toxic, np.float64)
     rng = np.random.default_rng(seed)
     held = rng.random(len(y)) < 0.25
