@@ -13,6 +13,7 @@ from quorix.functions import features, scalar
 from quorix.operators import evaluate, knn, score
 from quorix.sources import readers
 
+# The two payloads with published answers, and their vectors.
 LEGIT = {"id": "a", "transaction": {"amount": 41.12, "installments": 2, "requested_at": "2026-03-11T18:45:53Z"}, "customer": {"avg_amount": 82.24, "tx_count_24h": 3, "known_merchants": ["MERC-003", "MERC-016"]}, "merchant": {"id": "MERC-016", "mcc": "5411", "avg_amount": 60.25}, "terminal": {"is_online": False, "card_present": True, "km_from_home": 29.23}, "last_transaction": None}
 FRAUD = {"id": "b", "transaction": {"amount": 9505.97, "installments": 10, "requested_at": "2026-03-14T05:15:12Z"}, "customer": {"avg_amount": 81.28, "tx_count_24h": 20, "known_merchants": ["MERC-008"]}, "merchant": {"id": "MERC-068", "mcc": "7802", "avg_amount": 54.86}, "terminal": {"is_online": False, "card_present": True, "km_from_home": 952.27}, "last_transaction": None}
 GOLDEN = [[41, 1667, 500, 7826, 3333, -10000, -10000, 292, 1500, 0, 10000, 0, 1500, 60], [9506, 8333, 10000, 2174, 8333, -10000, -10000, 9523, 10000, 0, 10000, 10000, 7500, 55]]
