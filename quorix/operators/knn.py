@@ -5,8 +5,6 @@ Distances are squared, in whole numbers; neighbours are ordered by (distance, id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,11 +15,13 @@ from quorix import ship
 from quorix.sources.shared import stored
 
 K = 5
-#: Queries that go to all executors at once: with 64 dimensions, 10 MB.
+#: Queries that go to all executors, with 64 dimensions 10 MB; more are dealt with the vectors in blocks.
 QUERY_BLOCK = 20_000
 FAR = 9_223_372_036_854_775_807
 #: Vectors, and queries, that one task of an indexed search compares: with 64 dimensions, 17 MB each.
 BLOCK = 32_768
+#: The same where every distance is put out: a million rows a task at a time.
+PAIR_BLOCK = 1_024
 
 
 def squared_distance(a: Column, b: Column, width: int) -> Column:
@@ -63,73 +63,78 @@ def nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, boun
     return q, r, d[q, r]
 
 
-def query_blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[tuple[list, list]]:
-    ids, vectors = [], []
-    for row in queries.select("qid", "q").toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == size:
-            yield ids, vectors
-            ids, vectors = [], []
-    if ids:
-        yield ids, vectors
+def few(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Ids and vectors of at most QUERY_BLOCK queries; None if there are more."""
+    got = queries.select("qid", "q").limit(QUERY_BLOCK + 1).collect()
+    if len(got) > QUERY_BLOCK:
+        return None
+    return np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], np.float64)
 
 
 def brute_force(refs: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(qid, orig_id, label, d, rank): queries (qid, q) against all refs (orig_id, q, label).
 
-    Queries go out in blocks of bounded size; each task over refs keeps its k best of
-    each query, so what is shuffled is k rows a query and task, whatever refs has.
+    Up to QUERY_BLOCK queries are broadcast, and each task over refs keeps its k best of
+    each query. More are dealt with the refs in blocks, two blocks to a task. Either way
+    what is shuffled for the ranks is k rows a query and task, whatever refs has.
     """
     ship(refs.sparkSession)
-    spark, out = refs.sparkSession, None
-    for ids, vectors in query_blocks(queries):
-        held = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
-
-        def run(batches, held=held):
-            qids, q = held.value
-            best_q = best_i = best_l = np.zeros(0, np.int64)
-            best_d = np.zeros(0)
-            for batch in batches:
-                rows, refs_of = vectors_of(batch, "q"), batch.column(0).to_numpy(zero_copy_only=False)
-                labels = batch.column(2).to_numpy(zero_copy_only=False)
-                step = max(1, 4_000_000 // max(1, len(rows)))
-                for a in range(0, len(q), step):
-                    i, r, d = nearest(q[a : a + step], rows, refs_of, k)
-                    best_q, best_i, best_l, best_d = np.append(best_q, i + a), np.append(best_i, refs_of[r]), np.append(best_l, labels[r]), np.append(best_d, d)
-                order = np.lexsort((best_i, best_d, best_q))
-                n = np.bincount(best_q, minlength=len(q))
-                order = order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < k]
-                best_q, best_i, best_l, best_d = best_q[order], best_i[order], best_l[order], best_d[order]
-            yield pa.RecordBatch.from_arrays([pa.array(qids[best_q]), pa.array(best_i.astype(np.int64)), pa.array(best_l.astype(np.int32)), pa.array(best_d.astype(np.int64))], ["qid", "orig_id", "label", "d"])
-
-        part = refs.select("orig_id", "q", F.col("label").cast("int")).mapInArrow(run, "qid long, orig_id long, label int, d long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "qid long, orig_id long, label int, d long")
-    return ranked(out, k)
+    spark, asked = refs.sparkSession, few(queries)
+    if asked is None:
+        return ranked(scan(as_one(queries).withColumn("w0", F.lit(FAR)), as_one(refs), one_cluster(refs), k), k)
+    if not len(asked[0]):
+        return ranked(spark.createDataFrame([], "qid long, orig_id long, label int, d long"), k)
+    held = spark.sparkContext.broadcast(asked)
+
+    def run(batches):
+        qids, q = held.value
+        best_q = best_i = best_l = np.zeros(0, np.int64)
+        best_d = np.zeros(0)
+        for batch in batches:
+            rows, refs_of = vectors_of(batch, "q"), batch.column(0).to_numpy(zero_copy_only=False)
+            labels = batch.column(2).to_numpy(zero_copy_only=False)
+            step = max(1, 4_000_000 // max(1, len(rows)))
+            for a in range(0, len(q), step):
+                i, r, d = nearest(q[a : a + step], rows, refs_of, k)
+                best_q, best_i, best_l, best_d = np.append(best_q, i + a), np.append(best_i, refs_of[r]), np.append(best_l, labels[r]), np.append(best_d, d)
+            order = np.lexsort((best_i, best_d, best_q))
+            n = np.bincount(best_q, minlength=len(q))
+            order = order[np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n) < k]
+            best_q, best_i, best_l, best_d = best_q[order], best_i[order], best_l[order], best_d[order]
+        yield pa.RecordBatch.from_arrays([pa.array(qids[best_q]), pa.array(best_i.astype(np.int64)), pa.array(best_l.astype(np.int32)), pa.array(best_d.astype(np.int64))], ["qid", "orig_id", "label", "d"])
+
+    return ranked(refs.select("orig_id", "q", F.col("label").cast("int")).mapInArrow(run, "qid long, orig_id long, label int, d long"), k)
 
 
 def distances(refs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, orig_id, d) of every query with every ref: the queries go out in blocks, and nothing is shuffled."""
+    """(qid, orig_id, d) of every query with every ref; up to QUERY_BLOCK queries are broadcast and nothing is shuffled, more are dealt with the refs in blocks."""
     ship(refs.sparkSession)
-    spark, schema, out = refs.sparkSession, "qid long, orig_id long, d long", None
-    for ids, vectors in query_blocks(queries):
-        held = spark.sparkContext.broadcast((np.array(ids, np.int64), np.array(vectors, np.float64)))
+    spark, asked, schema = refs.sparkSession, few(queries), "qid long, orig_id long, d long"
+
+    def pairs(qids, q, ids, rows):
+        d = np.einsum("ij,ij->i", rows, rows)[:, None] + np.einsum("ij,ij->i", q, q)[None] - 2 * (rows @ q.T)
+        return [pa.array(np.tile(qids, len(rows))), pa.array(np.repeat(ids, len(q)).astype(np.int64)), pa.array(d.ravel().astype(np.int64))]
 
-        def run(batches, held=held):
-            qids, q = held.value
-            for batch in batches:
-                rows, refs_of = vectors_of(batch, "q"), batch.column(0).to_numpy(zero_copy_only=False)
-                step = max(1, 500_000 // max(1, len(q)))
-                for a in range(0, len(rows), step):
-                    part = rows[a : a + step]
-                    d = np.einsum("ij,ij->i", part, part)[:, None] + np.einsum("ij,ij->i", q, q)[None] - 2 * (part @ q.T)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(qids, len(part))), pa.array(np.repeat(refs_of[a : a + step], len(q)).astype(np.int64)), pa.array(d.ravel().astype(np.int64))], ["qid", "orig_id", "d"])
+    if asked is None:
+        def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+            sides = [(t.column(n).to_numpy(), vectors_of(t.combine_chunks().to_batches()[0], "q")) if t.num_rows else (np.zeros(0, np.int64), np.zeros((0, 1))) for t, n in ((right, "qid"), (left, "orig_id"))]
+            parts = pairs(*sides[0], *sides[1]) if left.num_rows and right.num_rows else [pa.array([], pa.int64())] * 3
+            return pa.table(dict(zip(("qid", "orig_id", "d"), parts)))
 
-        part = refs.select("orig_id", "q").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+        return cells(as_one(queries), as_one(refs), one_cluster(refs), PAIR_BLOCK, ["orig_id", "q"], ["qid", "q"]).applyInArrow(cell, schema)
+    if not len(asked[0]):
+        return spark.createDataFrame([], schema)
+    held = spark.sparkContext.broadcast(asked)
+
+    def run(batches):
+        qids, q = held.value
+        for batch in batches:
+            rows, refs_of = vectors_of(batch, "q"), batch.column(0).to_numpy(zero_copy_only=False)
+            step = max(1, 500_000 // len(q))
+            for a in range(0, len(rows), step):
+                yield pa.RecordBatch.from_arrays(pairs(qids, q, refs_of[a : a + step], rows[a : a + step]), ["qid", "orig_id", "d"])
+
+    return refs.select("orig_id", "q").mapInArrow(run, schema)
 
 
 def vote(queries: DataFrame, neighbours: DataFrame, k: int = K) -> DataFrame:
@@ -262,21 +267,44 @@ def probes(queries: DataFrame, clusters: DataFrame, nprobe: int, k: int, width:
     return centroid_rows(queries, clusters, width).withColumn("probe", F.row_number().over(w)).where(F.col("probe") <= clamp_probes(nprobe, k)).select("qid", "q", "cluster_id", "cd", "probe")
 
 
+def as_one(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("cluster_id", F.lit(0).cast("long"))
+
+
+def one_cluster(refs: DataFrame) -> DataFrame:
+    """(cluster_id, n): all refs as a single cluster."""
+    return refs.agg(F.count("*").alias("n")).select(F.lit(0).cast("long").alias("cluster_id"), "n")
+
+
+def cells(pairs: DataFrame, vectors: DataFrame, clusters: DataFrame, size: int, of_vectors: list[str], of_pairs: list[str]):
+    """Vectors and queries of each cluster, cut by hash of their ids into blocks of about ``size``: a group for each two blocks.
+
+    A cluster of any size is spread over tasks that way. Clusters that no query asks for
+    aren't read: vectors partitioned by cluster_id (an index on disk) are pruned to the
+    others. Nothing is broadcast but a row a cluster.
+    """
+    spark = vectors.sparkSession
+    asked = dict(pairs.groupBy(F.col("cluster_id").cast("long")).count().collect())
+    cut = lambda n: max(1, -(-n // size))
+    grid = [(c, cut(n), cut(asked[c])) for c, n in clusters.select("cluster_id", "n").collect() if c in asked]
+    held = F.broadcast(spark.createDataFrame(grid, "cluster_id long, _nv int, _nq int"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    v = vectors.where(F.col("cluster_id").isin([c for c, _, _ in grid])).withColumn("cluster_id", F.col("cluster_id").cast("long")).select("cluster_id", *of_vectors)
+    v = v.join(held, "cluster_id").withColumn("_v", block("orig_id", "_nv")).withColumn("_q", each("_nq")).select("cluster_id", "_v", "_q", *of_vectors)
+    p = pairs.withColumn("cluster_id", F.col("cluster_id").cast("long")).join(held, "cluster_id").withColumn("_q", block("qid", "_nq")).withColumn("_v", each("_nv"))
+    # Fresh names: pairs and vectors may come from the same table.
+    p = p.select("cluster_id", "_v", "_q", *[F.col(n).alias(n) for n in of_pairs])
+    key = ("cluster_id", "_v", "_q")
+    return v.groupBy(*key).cogroup(p.groupBy(*key))
+
+
 def scan(pairs: DataFrame, vectors: DataFrame, clusters: DataFrame, k: int = K) -> DataFrame:
     """(qid, orig_id, label, d): for each (qid, q, cluster_id, w0), the k nearest vectors of each block of the cluster, none farther off than w0.
 
-    Vectors and queries of a cluster are cut by hash of their ids into blocks of bounded
-    size, and a task compares two blocks, so a cluster of any size is spread over tasks and
-    what is shuffled afterwards is k rows a query and block. Nothing is broadcast but a row a cluster.
+    A task compares two blocks, so what is shuffled afterwards is k rows a query and block.
     """
     ship(vectors.sparkSession)
-    cut = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    asked = pairs.groupBy("cluster_id").agg(F.count("*").alias("_m"))
-    grid = F.broadcast(clusters.join(asked, "cluster_id").select("cluster_id", cut("n").alias("_nv"), cut("_m").alias("_nq")))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    v = vectors.select("cluster_id", "orig_id", "q", F.col("label").cast("int").alias("label")).join(grid, "cluster_id").withColumn("_v", block("orig_id", "_nv")).withColumn("_q", each("_nq")).select("cluster_id", "_v", "_q", "orig_id", "q", "label")
-    p = pairs.join(grid, "cluster_id").withColumn("_q", block("qid", "_nq")).withColumn("_v", each("_nv")).select("cluster_id", "_v", "_q", "qid", "q", "w0")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
@@ -295,8 +323,8 @@ def scan(pairs: DataFrame, vectors: DataFrame, clusters: DataFrame, k: int = K)
         out = [np.concatenate([none, *x]) for x in zip(*parts)] or [none] * 4
         return pa.table({n: pa.array(x.astype(t)) for n, x, t in zip(("qid", "orig_id", "label", "d"), out, (np.int64, np.int64, np.int32, np.int64))})
 
-    key = ("cluster_id", "_v", "_q")
-    return v.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(run, "qid long, orig_id long, label int, d long")
+    ready = vectors.withColumn("label", F.col("label").cast("int"))
+    return cells(pairs, ready, clusters, BLOCK, ["orig_id", "q", "label"], ["qid", "q", "w0"]).applyInArrow(run, "qid long, orig_id long, label int, d long")
 
 
 def seeds(probed: DataFrame, vectors: DataFrame, clusters: DataFrame, k: int = K) -> DataFrame:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
@@ -43,3 +44,20 @@ def stored(rows: DataFrame, tag: str) -> DataFrame:
     path = scratch(spark, tag)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, by: str, name: str, tag: str, start: int = 0) -> DataFrame:
+    """rows with consecutive numbers in the order of ``by`` (unique): a distributed sort, then an offset a partition.
+
+    The sorted rows are stored, so that numbers and offsets are of the same partitions;
+    what is broadcast is a row a partition.
+    """
+    kept = stored(rows.orderBy(by).withColumn("_id", F.monotonically_increasing_id()), tag)
+    part = F.shiftright("_id", 33)
+    sizes = sorted(kept.groupBy(part.alias("p")).count().collect())
+    offsets, total = [], start
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    first = rows.sparkSession.createDataFrame(offsets, "_p long, _first long")
+    return kept.join(F.broadcast(first), part == F.col("_p")).withColumn(name, F.col("_first") + F.col("_id") - F.shiftleft("_p", 33)).drop("_id", "_p", "_first")

@@ -15,16 +15,17 @@ def read_bodies(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     return spark.readStream.schema(BODIES).format(fmt).load(path)
 
 
-def start(bodies: DataFrame, refs: DataFrame, risks: DataFrame, out: str, checkpoint: str, options: score.Options | None = None, once: bool = True) -> StreamingQuery:
+def start(bodies: DataFrame, refs: DataFrame, risks: DataFrame, out: str, checkpoint: str, options: score.Options | None = None, once: bool = True, clusters: DataFrame | None = None) -> StreamingQuery:
     """Scores go to out/scores, bad records to out/rejected; a batch that runs again replaces its own files.
 
     refs and risks are static; each batch of bodies is one set of queries against all
-    refs. Stop it with ``query.stop()``; once: stop when what is there is done.
+    refs, or a search of the index whose vectors and clusters are given. Stop it with
+    ``query.stop()``; once: stop when what is there is done.
     """
     def each(batch: DataFrame, epoch: int) -> None:
         seen = batch.persist()
         try:
-            good, bad = score.score_bodies(seen, refs, risks, "tx_id", options)
+            good, bad = score.score_bodies(seen, refs, risks, "tx_id", options, clusters)
             good.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/scores/batch={epoch}")
             bad.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/rejected/batch={epoch}")
         finally:

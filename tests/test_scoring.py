@@ -239,3 +239,61 @@ def test_folders_take_the_scheme_of_the_file_system(spark, tmp_path):
     from quorix.sources.shared import qualified
 
     assert qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+
+
+def test_more_queries_than_are_broadcast(spark, monkeypatch):
+    refs = synthetic(spark, 2)
+    asked = refs.select(F.col("orig_id").alias("qid"), "q").where("qid % 7 = 0")
+    near, far = knn.brute_force(refs, asked).collect(), knn.distances(refs, asked).collect()
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(knn, "BLOCK", 50)
+    monkeypatch.setattr(knn, "PAIR_BLOCK", 50)
+    assert knn.few(asked) is None
+    assert sorted(knn.brute_force(refs, asked).collect()) == sorted(near)
+    assert sorted(knn.distances(refs, asked).collect()) == sorted(far) and len(far) == 74 * 512
+
+
+def test_an_index_on_disk_is_read_pruned(spark, tmp_path):
+    refs = synthetic(spark, 2)
+    vectors, clusters = score.build_index(refs, 14, score.Options(clusters=6, iterations=2, sample=256))
+    readers.write_index(vectors, clusters, f"file://{tmp_path}/i", 6, 14)
+    vectors, clusters, _ = readers.read_index(spark, f"file://{tmp_path}/i", 6, 14)
+    pairs = knn.probes(queries(spark).limit(1), clusters, 1, 6, 14).withColumn("w0", F.lit(knn.FAR))
+    plan = knn.scan(pairs, vectors, clusters)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cluster_id" in plan and "cast(cluster_id" in plan
+    assert ids(knn.search(queries(spark), vectors, clusters, 1, 6, 14)[0]) == ids(knn.brute_force(refs, queries(spark)))
+
+
+def test_votes_out_of_range_are_refused(spark):
+    for bad in (-1, 6):
+        with pytest.raises(Exception, match="votes out of range"):
+            knn.decide(spark.createDataFrame([(bad,)], "frauds long")).collect()
+
+
+def test_numbers_follow_the_order(spark):
+    from quorix.sources.shared import numbered
+
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000 * 3).alias("key")).repartition(6)
+    got = numbered(rows, "key", "n", "test", 1).orderBy("key").collect()
+    assert [(r["key"], r["n"]) for r in got] == [(3 * i, i + 1) for i in range(1000)]
+    assert numbered(rows.limit(0), "key", "n", "test").count() == 0
+
+
+def test_jobs_build_and_serve(spark, tmp_path):
+    from quorix import __main__ as job
+
+    items = [{"vector": [((i * 37 + j * 11) % 100) / 100 for j in range(14)], "label": "fraud" if i % 3 else "legit"} for i in range(60)]
+    (tmp_path / "refs.json").write_text(json.dumps(items))
+    spark.conf.set("spark.quorix.clusters", "4")
+    try:
+        job.main(["build", f"file://{tmp_path}/refs.json", f"file://{tmp_path}/index"])
+        asked = bodies(spark, LEGIT, FRAUD, "nope")
+        asked.write.parquet(f"file://{tmp_path}/bodies")
+        job.main(["serve", f"file://{tmp_path}/index", f"file://{tmp_path}/bodies", f"file://{tmp_path}/out", "--once"])
+    finally:
+        spark.conf.unset("spark.quorix.clusters")
+    refs = readers.read_references(spark, f"file://{tmp_path}/refs.json").select("orig_id", F.transform("vector", lambda x: scalar.quantize(x)).alias("q"), "label")
+    want, _ = score.score_bodies(asked, refs, readers.default_risks(spark))
+    got = spark.read.parquet(f"file://{tmp_path}/out/answers/scores").select(want.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 2
+    assert spark.read.parquet(f"file://{tmp_path}/out/answers/rejected").count() == 1
