@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorix.functions import features as feature
@@ -10,7 +10,7 @@ from quorix.functions import scalar
 from quorix.operators import evaluate, knn, score
 from quorix.plans.oracle import ORACLE, ROUNDS, SAMPLE, D, K
 from quorix.sources import fixture, readers
-from quorix.sources.shared import scratch, stored
+from quorix.sources.shared import numbered, scratch
 from quorix.streaming import scoring
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -41,11 +41,9 @@ def _vectors(spark, d) -> DataFrame:
 
 
 def _split(spark, d) -> tuple[DataFrame, DataFrame]:
-    """refs (orig_id, q, label) with ids by order of transaction, queries (qid, q)."""
-    rows = _vectors(spark, d)
-    # One number for each of the fixture's rows; a table at scale brings its ids along.
-    refs = rows.where("tx_id % 20 <> 0").withColumn("orig_id", (F.row_number().over(Window.orderBy("tx_id")) - 1).cast("long"))
-    return refs.select("orig_id", "q", F.col("fraud").alias("label")), rows.where("tx_id % 20 = 0").select(F.col("tx_id").alias("qid"), "q")
+    """refs: all rows (orig_id, q, label) with ids by order of transaction; queries (qid, q): those whose id is divisible by 20."""
+    rows = numbered(_vectors(spark, d), "tx_id", "orig_id", "references")
+    return rows.select("orig_id", "q", F.col("fraud").alias("label")), rows.where("tx_id % 20 = 0").select(F.col("tx_id").alias("qid"), "q")
 
 
 def _centroids(refs: DataFrame, rounds: int = ROUNDS) -> list[list[float]]:
@@ -54,8 +52,6 @@ def _centroids(refs: DataFrame, rounds: int = ROUNDS) -> list[list[float]]:
 
 def _index(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     refs, queries = _split(spark, d)
-    refs = stored(refs, "references")
-    # Boxes, seeds and repairs all read the vectors; an index in use reads them from its tables.
     vectors, clusters = score.build_index(refs, D, score.Options(clusters=K, sample=SAMPLE, iterations=ROUNDS))
     return queries, vectors, clusters
 
@@ -256,6 +252,14 @@ def nprobe_clusters(spark, d):
     return knn.probes(queries, clusters, 3, K, D).select("qid", "cluster_id", "probe")
 
 
+@query
+def nprobe_clamp(spark, d):
+    """Probes asked for beyond what there is: none gives one, too many give every cluster with rows."""
+    queries, _, clusters = _index(spark, d)
+    asked = [knn.probes(queries, clusters, n, K, D).select(F.lit(n).alias("asked"), "qid", "cluster_id", "probe") for n in (0, 9999)]
+    return asked[0].unionByName(asked[1])
+
+
 @query
 def bbox_lower_bound(spark, d):
     queries, _, clusters = _index(spark, d)
@@ -296,8 +300,8 @@ def tie_break_top5(spark, d):
 
 @query
 def profile_averages(spark, d):
-    seq = F.row_number().over(Window.orderBy("event_id")).cast("long")
-    rows = fixture.table(spark, d, "events").select(seq.alias("seq"), (F.col("event_id") % 7 + 1).alias("parse"), (F.col("event_id") % 101 + 3).alias("search"), (F.col("event_id") % 5 + 2).alias("write"))
+    rows = numbered(fixture.table(spark, d, "events").select("event_id"), "event_id", "seq", "requests", 1)
+    rows = rows.select("seq", (F.col("event_id") % 7 + 1).alias("parse"), (F.col("event_id") % 101 + 3).alias("search"), (F.col("event_id") % 5 + 2).alias("write"))
     return evaluate.running_profile(rows, 100)
 
 
@@ -336,7 +340,7 @@ def references_json_scan(spark, d):
     lines = F.concat(F.when(F.col("vec_id") == rows.agg(F.min("vec_id")).first()[0], "[").otherwise(","), item)
     path = scratch(spark, "references")
     rows.select(lines.alias("value")).unionByName(spark.createDataFrame([("]",)], "value string")).coalesce(1).write.option("compression", "gzip").text(path)
-    return readers.read_references(spark, path)
+    return _long(readers.read_references(spark, path), ["orig_id", "label"], "vector", "x").withColumn("x", F.col("x").cast("double"))
 
 
 @query
@@ -346,7 +350,7 @@ def index_roundtrip(spark, d):
     vectors, clusters = score.build_index(refs, D, score.Options(clusters=K, sample=SAMPLE, iterations=ROUNDS))
     readers.write_index(vectors, clusters, path, K, D)
     found, _, _ = readers.read_index(spark, path, K, D)
-    return found.select("orig_id", "q", "label", F.col("cluster_id").cast("long").alias("cluster_id"))
+    return _long(found.withColumn("cluster_id", F.col("cluster_id").cast("long")), ["orig_id", "label", "cluster_id"], "q", "q")
 
 
 @query

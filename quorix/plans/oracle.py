@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-D, K, SAMPLE, ROUNDS = 14, 8, 512, 3
+D, K, SAMPLE, ROUNDS = 14, 256, 131_072, 10
 EMB = 64
 
 
@@ -56,7 +56,7 @@ FEATURES = [
 ]
 FEAT = "feat as (select tx_id, fraud, " + ", ".join(f"{e} as f{i}" for i, e in enumerate(FEATURES)) + " from tx)"
 QUANT = "vec as (select tx_id, fraud, [" + ", ".join(quant(f"f{i}") for i in range(D)) + "] as q from feat)"
-SPLIT = "refs as (select row_number() over (order by tx_id) - 1 as orig_id, tx_id, q, fraud as label from vec where tx_id % 20 <> 0), queries as (select tx_id as qid, q from vec where tx_id % 20 = 0)"
+SPLIT = "refs as (select row_number() over (order by tx_id) - 1 as orig_id, tx_id, q, fraud as label from vec), queries as (select tx_id as qid, q from vec where tx_id % 20 = 0)"
 BASE = f"with {TX}, {FEAT}, {QUANT}, {SPLIT}"
 
 
@@ -150,5 +150,9 @@ ORACLE = {
     "confusion_matrix": f"{BASE}, {top5('queries', 'refs', D)}, {VOTES}, seen as (select case when v.qid % 300 = 0 then null else v.frauds >= 3 end as flagged, x.fraud from votes v join vec x on x.tx_id = v.qid) select count(*) filter (flagged and fraud = 1) as tp, count(*) filter (not flagged and fraud = 0) as tn, count(*) filter (flagged and fraud = 0) as fp, count(*) filter (not flagged and fraud = 1) as fn, count(*) filter (flagged is null) as errors from seen",
     "p99_score": "select quantile_cont(latency_ms, 0.99) as p99_ms, case when quantile_cont(latency_ms, 0.99) > 2000 then -3000.0 else least(cast(3000 as double), 1000 * log10(1000 / greatest(quantile_cont(latency_ms, 0.99), 1.0))) end as p99_score from (select cast(event_id % 97 as double) / 4 + 0.5 as latency_ms from events)",
     "weighted_error": f"{BASE}, {top5('queries', 'refs', D)}, {VOTES}, seen as (select case when v.qid % 300 = 0 then null else v.frauds >= 3 end as flagged, x.fraud from votes v join vec x on x.tx_id = v.qid), m as (select count(*) filter (flagged and fraud = 0) as fp, count(*) filter (not flagged and fraud = 1) as fn, count(*) filter (flagged is null) as errors, count(*) as total from seen) select fp + 3 * fn + 5 * errors as weighted, cast(fp + fn + errors as double) / total as failure_rate, fp + fn + errors > 0.15 * total as past_cutoff from m",
+    "references_json_scan": "select orig_id, label, j - 1 as dim, case when j <= 10 then cast(embedding[j] as double) else 0.0 end as x from (select row_number() over (order by vec_id) - 1 as orig_id, case when label < 3 then 1 else 0 end as label, embedding from embeddings), range(1, 15) t(j)",
+    "index_roundtrip": dims(INDEX, "asg", "orig_id, label, cluster_id", "q[j]", "q", D),
+    "stream_score": f"{BASE}, {top5('queries', 'refs', D)}, {VOTES} select qid as tx_id, {DECIDED}, {BODY} as body from votes where not (qid % 7 = 1 or qid % 11 = 2 or qid % 13 = 3 or qid % 17 = 4)",
+    "nprobe_clamp": f"{INDEX} select asked, qid, cluster_id, cast(probe as integer) as probe from (select *, row_number() over (partition by qid order by cd, cluster_id) as probe from cdist), (values (0), (9999)) t(asked) where probe <= case asked when 0 then 1 else {K} end",
     "readiness": f"{BASE} select count(*) as vectors, cast({K} as bigint) as clusters, count(*) > 0 as ready from refs",
 }

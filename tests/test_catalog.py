@@ -30,13 +30,6 @@ def test_equals_sql(spark, data, duck, name):
     pd.testing.assert_frame_equal(a, b, check_dtype=False, check_exact=True)
 
 
-@pytest.mark.parametrize("name", ["references_json_scan", "index_roundtrip"])
-def test_rows_only(spark, data, name):
-    from quorix.plans.catalog import QUERIES
-
-    assert QUERIES[name](spark, data).count() > 0
-
-
 def test_stream_equals_batch(spark, data):
     from quorix.plans import catalog
 
