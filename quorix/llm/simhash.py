@@ -12,7 +12,8 @@ costs only; the links found are the same for any plan.
 
 Defined results: null or empty text, and text of white space, has fingerprint
 zero and is linked like any other; fewer words than a shingle make one shingle;
-repeated rows share a fingerprint; an empty table gives no rows.
+repeated rows share a fingerprint; rows that share an id are one document, linked
+through the fingerprint of any of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorix import ship
-from quorix.llm.common import LOWER, chunks, components, drop, stored, table, texts_of
+from quorix.llm.common import LOWER, chunks, components, stored, table, texts_of
 
 _ONES = np.uint64(0x0101010101010101)
 #: Fingerprints looked at to plan the partitions.
@@ -261,14 +262,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, prints.fp == named.fp_, "left").select(F.col(id_col), "fp", F.coalesce("component_id", F.col(id_col).cast("long")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
-    """docs with the row of least id of each group of near duplicates; rows without an id all stay."""
-    found = near_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, most)
-    kept = stored(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_quorix_kept")).distinct(), "fpkept")
-    rows = docs.join(kept.hint("merge"), F.col(id_col) == F.col("_quorix_kept"), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
-
-
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
