@@ -253,6 +253,39 @@ def test_more_queries_than_are_broadcast(spark, monkeypatch):
     assert sorted(knn.distances(refs, asked).collect()) == sorted(far) and len(far) == 74 * 512
 
 
+def few_pairs(monkeypatch):
+    """From now on every search is too large for brute force."""
+    def refuse(*_):
+        raise AssertionError("brute force")
+
+    for name, value in (("MOST_PAIRS", 0), ("PART", 64), ("LEAF", 8), ("BLOCK", 50), ("brute_force", refuse)):
+        monkeypatch.setattr(knn, name, value)
+
+
+@pytest.mark.parametrize("values", [3, 40, 10_000])
+def test_pruned_search_equals_brute_force(spark, monkeypatch, values):
+    """Many ties and copies, some; every copy of a query is answered, and one id that asks twice."""
+    r = np.random.default_rng(values)
+    rows = r.integers(0, values, (600, 4))
+    rows[:200] = rows[0]
+    refs = spark.createDataFrame([(int(i), [int(x) for x in v], int(i) % 2) for i, v in zip(r.permutation(600), rows)], "orig_id long, q array<int>, label int").repartition(3)
+    asked = spark.createDataFrame([(i // 2 if i < 4 else i, [int(x) for x in v]) for i, v in enumerate(np.concatenate([rows[150:350], r.integers(-5, values + 5, (50, 4))]))], "qid long, q array<int>")
+    want = sorted(knn.brute_force(refs, asked).collect())
+    tiny = sorted(knn.brute_force(refs.where("orig_id < 3"), asked).collect())
+    few_pairs(monkeypatch)
+    assert sorted(knn.exact(refs, asked).select("qid", "orig_id", "label", "d", "rank").collect()) == want and len(want) == 248 * 5
+    assert sorted(knn.exact(refs.where("orig_id < 3"), asked).select("qid", "orig_id", "label", "d", "rank").collect()) == tiny
+
+
+@pytest.mark.parametrize("name", ["tx_score"])
+def test_large_searches_are_pruned(spark, data, monkeypatch, name):
+    from quorix.plans import catalog
+
+    want = sorted(catalog.QUERIES[name](spark, data).collect())
+    few_pairs(monkeypatch)
+    assert sorted(catalog.QUERIES[name](spark, data).collect()) == want and want
+
+
 def test_an_index_on_disk_is_read_pruned(spark, tmp_path):
     refs = synthetic(spark, 2)
     vectors, clusters = score.build_index(refs, 14, score.Options(clusters=6, iterations=2, sample=256))
