@@ -1,6 +1,8 @@
 """Near copies: pairs of texts whose sets of word shingles have a Jaccard similarity of a limit or more.
 
-Texts of equal shingle sets are one class. Candidates are classes that agree in a
+Texts of equal shingle sets are one class. Candidates are classes whose SimHash
+fingerprints over these shingles are linked by ``simhash`` (generalised pigeonhole, BITS
+bits), and, as texts at 0.8 mostly differ in more bits, classes that agree in a
 band of MinHash values: 40 bands of 5, so a pair at 0.8 is missed once in eight
 million and one above it less often. Each candidate is verified on the full sets of
 64-bit shingle hashes before it counts as a link; groups are the components of the
@@ -28,8 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorix import ship
+from quorix.llm import simhash
 from quorix.llm.common import LOWER, chunks, components, mix, stored, texts_of
 
+#: Fingerprints that differ in so many bits at most are candidates.
+BITS = 4
 BANDS, ROWS = 40, 5
 _random = np.random.default_rng(20250607)
 _FACTOR = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -77,17 +82,28 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def signatures(rows: DataFrame, shingle: int) -> DataFrame:
-    """(id, th, rh, cls, n, bands) of rows (id, th, rh, text)."""
+    """(id, th, rh, cls, n, fp, bands) of rows (id, th, rh, text)."""
     def run(batches):
         for batch in chunks(batches):
-            sets = [shingles_of(t, shingle) for t in _texts(batch)]
+            texts = _texts(batch)
+            sets = [shingles_of(t, shingle) for t in texts]
+            fp = simhash.fingerprints_of(texts, shingle).view(np.int64)
             n = np.array([len(s) for s in sets], np.int64)
             keys = bands_of([s for s in sets if len(s)]).view(np.int64)
             at = np.append(0, np.cumsum(np.where(n > 0, BANDS, 0))).astype(np.int32)
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cls), pa.array(n), pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(keys).ravel()))], ["id", "th", "rh", "cls", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cls), pa.array(n), pa.array(fp), pa.ListArray.from_arrays(pa.array(at), pa.array(np.ascontiguousarray(keys).ravel()))], ["id", "th", "rh", "cls", "n", "fp", "bands"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, rh long, cls long, n long, fp long, bands array<long>")
+
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, th long, rh long, cls long, n long, bands array<long>")
+def fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """(u, v) of classes (cls, n, fp) that SimHash takes for near copies: a star for each fingerprint, and the edges between fingerprints."""
+    some = classes.where("n > 0").select("cls", "fp")
+    named = stored(some.groupBy("fp").agg(F.min("cls").alias("rep")), "nearfp")
+    same = some.join(named.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f")).where("cls <> rep").select(F.col("rep").alias("u"), F.col("cls").alias("v"))
+    near = simhash.near_pairs(named, BITS)
+    return same if near is None else same.unionByName(near)
 
 
 def buckets(classes: DataFrame, share: float) -> DataFrame:
@@ -246,9 +262,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.where(F.col(id_col).isNotNull()).select("*", *_keys(docs, id_col, text_col))
     rows = keyed.select(F.col("_quorix_id").alias("id"), F.col("_quorix_th").alias("th"), F.col("_quorix_rh").alias("rh"), F.col(text_col).alias("text"))
     prints = stored(signatures(rows, shingle), "nearprints")
-    classes = stored(prints.groupBy("cls").agg(F.min(F.struct("id", "th", "rh")).alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")), "nearclasses")
+    classes = stored(prints.groupBy("cls").agg(F.min(F.struct("id", "th", "rh")).alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nearclasses")
     found = stored(buckets(classes, share), "nearbuckets")
-    pairs = found.where("v is not null").select("u", "v").distinct()
+    either = found.where("v is not null").select("u", "v").unionByName(fingerprint_pairs(classes))
+    pairs = stored(either.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "nearpairs")
     big = found.where("v is null").select("key", F.col("u").alias("cls"), "n")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("c")).unionByName(big.select(F.col("cls").alias("c")))
     wanted = classes.join(nodes.distinct(), F.col("cls") == F.col("c"), "left_semi").select("cls", F.col("rep.id").alias("i_"), F.col("rep.th").alias("t_"), F.col("rep.rh").alias("r_"))

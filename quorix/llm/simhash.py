@@ -249,15 +249,22 @@ def near_edges(classes: DataFrame, partitions: list[tuple[list[int], int]], most
     return spread.mapInArrow(verify, "u long, v long").distinct()
 
 
+def near_pairs(classes: DataFrame, most: int) -> DataFrame | None:
+    """The edges of ``near_edges`` by the plan for these classes (fp, rep), which are stored; None for fewer than two."""
+    n, both = bit_statistics(classes)
+    if n < 2:
+        return None
+    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    return near_edges(classes, plan(n, both, sample, most), most)
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
     """(id_col, fp, component_id) for each row of docs; ids are integers."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fp")
     classes = stored(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).where("rep is not null"), "fpclass")
-    n, both = bit_statistics(classes)
     named = classes.select(F.col("fp").alias("fp_"), F.col("rep").alias("component_id"))
-    if n > 1:
-        sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
-        groups = components(near_edges(classes, plan(n, both, sample, most), most))
+    if (edges := near_pairs(classes, most)) is not None:
+        groups = components(edges)
         named = stored(classes.join(groups, classes.rep == groups.node, "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id")), "fpcomp")
     return prints.join(named, prints.fp == named.fp_, "left").select(F.col(id_col), "fp", F.coalesce("component_id", F.col(id_col).cast("long")).alias("component_id"))
 

@@ -79,3 +79,13 @@ def test_rows_of_one_id_are_told_apart(spark, make):
     docs = make([(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six seven"), (1, "one two three four five six seven"), (2, "nothing like the others at all here")])
     got = pipeline.drop_near_copies(spark, docs, "").collect()
     assert sorted(x["text"] for x in got) == ["alpha beta gamma delta epsilon zeta", "nothing like the others at all here", "one two three four five six seven"]
+
+
+def test_fingerprints_give_candidates(spark, make, monkeypatch):
+    """Without any band, SimHash alone brings texts of near equal fingerprints together; those below the similarity stay."""
+    monkeypatch.setattr(nearcopies, "buckets", lambda classes, share: classes.sparkSession.createDataFrame([], "key long, u long, v long, n long"))
+    r = random.Random(4)
+    base = [[f"w{r.randrange(3000)}" for _ in range(400)] for _ in range(3)]
+    texts = [" ".join(x) for x in base] + [" ".join([*base[0][:-1], "other"]), " ".join([*base[1], "more"])]
+    got = pipeline.drop_near_copies(spark, make(texts), "").collect()
+    assert sorted(x["doc_id"] for x in got) == [0, 1, 2]
