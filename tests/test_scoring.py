@@ -277,7 +277,7 @@ def test_pruned_search_equals_brute_force(spark, monkeypatch, values):
     assert sorted(knn.exact(refs.where("orig_id < 3"), asked).select("qid", "orig_id", "label", "d", "rank").collect()) == tiny
 
 
-@pytest.mark.parametrize("name", ["tx_score", "tie_break_top5", "stream_score", "confusion_matrix"])
+@pytest.mark.parametrize("name", ["tx_score", "tie_break_top5", "stream_score", "confusion_matrix", "weighted_error"])
 def test_large_searches_are_pruned(spark, data, monkeypatch, name):
     from quorix.plans import catalog
 
