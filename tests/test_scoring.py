@@ -286,6 +286,25 @@ def test_large_searches_are_pruned(spark, data, monkeypatch, name):
     assert sorted(catalog.QUERIES[name](spark, data).collect()) == want and want
 
 
+@pytest.mark.parametrize("name", ["confusion_matrix"])
+def test_events_are_read_once(spark, data, monkeypatch, name):
+    """References, queries and labels or bodies come from one computation of the fixture."""
+    from quorix.plans import catalog
+    from quorix.sources import fixture
+
+    read, table = [], fixture.table
+    monkeypatch.setattr(fixture, "table", lambda s, d, n: read.append(n) or table(s, d, n))
+    catalog.QUERIES[name](spark, data)
+    assert read.count("events") == 1
+
+
+def test_texts_of_times_are_parsed_once(spark):
+    """Hour, weekday and minutes: one parse of each date as a weekday, two for the minutes, whatever is done with them."""
+    rows = features.features(readers.parse_payloads(bodies(spark, LEGIT)), readers.default_risks(spark), ["tx_id"])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("weekday(") == 1 and plan.count("unix_date(") == 2
+
+
 def test_an_index_on_disk_is_read_pruned(spark, tmp_path):
     refs = synthetic(spark, 2)
     vectors, clusters = score.build_index(refs, 14, score.Options(clusters=6, iterations=2, sample=256))
