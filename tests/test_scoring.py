@@ -286,7 +286,7 @@ def test_large_searches_are_pruned(spark, data, monkeypatch, name):
     assert sorted(catalog.QUERIES[name](spark, data).collect()) == want and want
 
 
-@pytest.mark.parametrize("name", ["confusion_matrix"])
+@pytest.mark.parametrize("name", ["confusion_matrix", "weighted_error", "stream_score"])
 def test_events_are_read_once(spark, data, monkeypatch, name):
     """References, queries and labels or bodies come from one computation of the fixture."""
     from quorix.plans import catalog
