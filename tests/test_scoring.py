@@ -298,6 +298,42 @@ def test_events_are_read_once(spark, data, monkeypatch, name):
     assert read.count("events") == 1
 
 
+def test_equal_vectors_are_searched_as_one(spark, monkeypatch):
+    """Each distinct vector is dealt once, and the k of least id of its rows are still all found."""
+    refs = spark.range(600).select(F.col("id").alias("orig_id"), F.array(*[(F.col("id") % n).cast("int") for n in (2, 3, 5)]).alias("q"), (F.col("id") % 2).cast("int").alias("label"))
+    asked = spark.range(40).select(F.col("id").alias("qid"), F.array(*[(F.col("id") % n).cast("int") for n in (4, 5, 6)]).alias("q"))
+    want, seen, dealt = sorted(knn.brute_force(refs, asked).collect()), [], knn.dealt
+    few_pairs(monkeypatch)
+    monkeypatch.setattr(knn, "dealt", lambda rows, cuts: seen.append(rows.count()) or dealt(rows, cuts))
+    assert sorted(knn.exact(refs, asked).select("qid", "orig_id", "label", "d", "rank").collect()) == want
+    assert seen == [30, 40]
+
+
+def test_copies_bound_the_pruned_search():
+    """The k-th distance counts a vector as often as it has rows, and ties with it stay."""
+    rows, ids = np.array([[0.0], [2], [-2], [3]]), np.arange(4)
+    for copies, want in (([1, 1, 1, 1], [0, 1, 2, 3]), ([1, 4, 1, 1], [0, 1, 2]), ([5, 1, 1, 1], [0])):
+        i, r, d = knn.pruned(np.zeros((1, 1)), rows, ids, 5, np.array([np.inf]), np.array(copies))
+        assert sorted(r.tolist()) == want and not i.any()
+
+
+def test_bodies_are_parsed_once(spark):
+    good, bad = score.score_bodies(bodies(spark, LEGIT, FRAUD, "nope"), synthetic(spark), readers.default_risks(spark))
+    assert "from_json" not in "".join(x._jdf.queryExecution().optimizedPlan().toString() for x in (good, bad))
+    assert (good.count(), bad.count()) == (2, 1)
+
+
+def test_stream_references_are_not_sorted(spark, data, monkeypatch):
+    """Only the order of their ids counts, and that is the order of their transactions."""
+    from quorix.plans import catalog
+
+    def refuse(*_, **__):
+        raise AssertionError("numbered")
+
+    monkeypatch.setattr(catalog, "numbered", refuse)
+    assert catalog.stream_score(spark, data).count()
+
+
 def test_texts_of_times_are_parsed_once(spark):
     """Hour, weekday and minutes: one parse of each date as a weekday, two for the minutes, whatever is done with them."""
     rows = features.features(readers.parse_payloads(bodies(spark, LEGIT)), readers.default_risks(spark), ["tx_id"])
