@@ -317,6 +317,16 @@ def test_copies_bound_the_pruned_search():
         assert sorted(r.tolist()) == want and not i.any()
 
 
+def test_a_leaf_with_many_rows_in_reach_tightens_the_bound(monkeypatch):
+    """The nearest leaf has the poorest rows, so its bound lets all others in."""
+    rows = np.concatenate([np.tile([-1000.0, 1000.0], 16), np.arange(1.0, 801.0)])[:, None]
+    monkeypatch.setattr(knn, "halves", lambda x, leaf: (np.arange(832), np.arange(32, 833, 100)))
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(knn.np, "lexsort", lambda keys: sorts.append(len(keys[0])) or lexsort(keys))
+    i, r, d = knn.pruned(np.zeros((1, 1)), rows, np.arange(832), 5, np.array([np.inf]), np.ones(832, int))
+    assert r.tolist() == [32, 33, 34, 35, 36] and d.tolist() == [1, 4, 9, 16, 25] and sorts == [5]
+
+
 def test_bodies_are_parsed_once(spark):
     good, bad = score.score_bodies(bodies(spark, LEGIT, FRAUD, "nope"), synthetic(spark), readers.default_risks(spark))
     assert "from_json" not in "".join(x._jdf.queryExecution().optimizedPlan().toString() for x in (good, bad))
